@@ -1,12 +1,13 @@
 """Near-duplicate documents by a chosen-path set similarity join (operator 5).
 
 A document is the set of its distinct word shingles. In each of ``trees``
-independent trees a node's documents branch to the ``branch`` tokens of theirs
-that are least under the tree's hash of that level. Documents that share such a
-token meet in a child node. For a pair of similarity 0.8 the chance that the
-three least tokens of one and the other have none in common is about 0.006 a
-tree, so four trees miss about one such pair in 10^9, deeper levels about one
-in 10^7; every link found is confirmed on the full sets.
+independent trees (``TREES``) the root's documents branch to their ``BRANCH``
+least tokens under the tree's hash of that level, deeper nodes' to their
+``DEEPER`` least. Documents that share such a token meet in a child node. For a
+pair of similarity 0.8 the chance that the three least tokens of one and the
+other have none in common is about 0.006 a tree, so four trees miss about one
+such pair in 10^9; nodes that branch twice more keep such a pair in each tree
+with a chance of 0.92 and miss 4 in 10^5. Links are confirmed on full sets.
 
 The work within nodes is kept linear in the rows:
 
@@ -17,9 +18,9 @@ The work within nodes is kept linear in the rows:
   component is finished.
 * An unfinished node of at most ``small`` members is compared exhaustively. A
   larger one branches again, up to three levels.
-* What is still large at the last level is compared exactly too, in blocks of
-  ``block`` members: all members outside the node's largest component against
-  all members. No cap, no sampling.
+* What is still large at the last level is compared exactly too, on full sets and
+  in blocks of a bounded number of members: all members outside the largest
+  component against all members. No cap, no sampling.
 
 Defined cases: null or wordless text has an empty set, links with nothing and
 is its own component; null doc_id rows get a null component and kept = false;
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import scratch, textbytes
 from gridloom.llm.components import components
 
-TREES, LEVELS, BRANCH, SKETCH = 4, 3, 3, 64
+TREES, LEVELS, BRANCH, DEEPER, SKETCH = 4, 3, 3, 2, 64
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -107,18 +108,44 @@ def _profile(width: int):
     return run
 
 
-def _sets(width: int):
+FILTER_BITS = 1 << 24
+
+
+def _sets(width: int, bits):
     def run(batches):
+        member = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            for r0, r1, data, offs in textbytes.blocks(batch.column(1)):
+            cells = batch.column(2).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(member[cells]))
+            for r0, r1, data, offs in textbytes.blocks(some.column(1)):
                 flat, to = shingle_sets(data, offs, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(r0, r1 - r0), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "s"]
+                    [some.column(0).slice(r0, r1 - r0), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "s"]
                 )
 
     return run
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s): the full sets of the documents with the ``wanted`` ids.
+
+    Texts are not shuffled: a bit map of fixed size (2 MB) is broadcast, sets are made
+    where its bits are set, and the exact ids are joined afterwards.
+    """
+    spark = docs.sparkSession
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    where = wanted.select(cell.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
+    bits = bytearray(FILTER_BITS // 8 + 4096)
+    for r in where.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
+        at = (r.k - 1) * 4096
+        bits[at : at + 4096] = r.m
+    sent = spark.sparkContext.broadcast(bytes(bits))
+    # bit 0 of the map is value 1 of bucket 1, or value 0 of bucket 0
+    cells = F.expr("(bitmap_bucket_number(_c) - 1) * 32768 + bitmap_bit_position(_c)")
+    rows = docs.where("doc_id is not null").withColumn("_c", cell).select("doc_id", "text", cells.cast("int").alias("cell"))
+    return rows.mapInArrow(_sets(width, sent), "id long, s array<long>").join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+
+
 def _near_sizes(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
@@ -127,17 +154,68 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, n
     """Those pairs (a, b) of class representatives that are similar: sketches first, then full sets."""
     s = reps.select("id", "n", "sketch")
     both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b")
-    least = F.least("na", "nb", F.lit(SKETCH))
-    likely = both.where(_near_sizes(F.col("na"), F.col("nb"), num, den) & (F.size(F.array_intersect("sa", "sb")) * 2 >= least)).select("a", "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
+    close = F.when(whole, common * den >= (F.col("na") + F.col("nb") - common) * num).otherwise(common * den * 4 >= F.least("na", "nb", F.lit(SKETCH)) * num * 3)
+    likely = both.where(_near_sizes(F.col("na"), F.col("nb"), num, den) & close).select("a", "b")
     likely = scratch.keep(likely, "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.keep(own.mapInArrow(_sets(width), "id long, s array<long>"), "sets")
+    sets = scratch.keep(_sets_of(wanted, docs, width), "sets")
     full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return full.where(common * den >= (F.size("sa") + F.size("sb") - common) * num).select("a", "b")
 
 
+def _confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """As :func:`_confirmed`, for pairs that lie thick: each set is sent once to a block of pairs, not once a pair.
+
+    A document's block is led by the least of its partners, so families fall together;
+    large families are cut into parts of about ``block`` documents.
+    """
+    pairs = scratch.keep(pairs, "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("k"))
+    sizes = lead.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    lead = lead.join(sizes, "k").select(F.col("a").alias("id"), F.struct("k", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("p")).alias("g"))
+    lead = scratch.keep(lead, "lead")
+    routed = pairs.join(lead.toDF("a", "ga"), "a").join(lead.toDF("b", "gb"), "b")
+    routed = scratch.keep(routed, "routed")
+    keys = ["ga", "gb"]
+    sets = _sets_of(lead.select(F.col("id").alias("doc_id")), docs, width)
+    sent = routed.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    sent = sent.groupBy(*keys).agg(F.collect_list(F.struct("id", "s")).alias("sets"))
+    lists = routed.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("ps"))
+    return sent.join(lists, keys).select("sets", "ps").mapInArrow(_check_block(num, den), "a long, b long")
+
+
+def _check_block(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                sets: dict[int, list] = {}
+                for x in batch.column(0)[k].values if batch.column(0)[k].values is not None else ():
+                    sets.setdefault(x["id"].as_py(), []).append(x["s"].values.to_numpy().view(np.uint64))
+                ps = batch.column(1)[k].values
+                a, b = ps.field("a").to_pylist(), ps.field("b").to_pylist()
+                good_a, good_b, last, mine = [], [], None, []
+                for x, y in sorted(zip(a, b)):
+                    if x != last:
+                        last, mine = x, sets[x]
+                    for s in mine:
+                        for t in sets[y]:
+                            if min(len(s), len(t)) * den < max(len(s), len(t)) * num:
+                                continue
+                            at = np.searchsorted(t, s)
+                            at[at == len(t)] = 0
+                            common = int(np.count_nonzero(t[at] == s))
+                            if common * den >= (len(s) + len(t) - common) * num:
+                                good_a.append(x)
+                                good_b.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _cross_pairs(members: str) -> Column:
     """All pairs of a small node's members that are in different components and near in size."""
     return F.expr(
@@ -146,35 +224,78 @@ def _cross_pairs(members: str) -> Column:
     )
 
 
-def _blocks_compared(batches):
-    """Sketch comparison of two blocks of members of a large leaf: rows (xs, ys), lists of (id, n, c, sketch)."""
-    for batch in batches:
-        a, b = [], []
-        for row in batch.to_pylist():
-            ys = row["ys"]
-            order = sorted(range(len(ys)), key=lambda k: ys[k]["n"])
-            sizes = np.array([ys[k]["n"] for k in order])
-            comps = np.array([ys[k]["c"] for k in order])
-            ids = np.array([ys[k]["id"] for k in order])
-            lens = np.array([len(ys[k]["sketch"]) for k in order])
-            flat = np.concatenate([np.asarray(ys[k]["sketch"], dtype=np.int64) for k in order])
-            owner = np.repeat(np.arange(len(order)), lens)
-            by = np.argsort(flat, kind="stable")
-            keys, owner = flat[by], owner[by]
-            for x in row["xs"]:
-                mine = np.asarray(x["sketch"], dtype=np.int64)
-                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                seen = np.concatenate([owner[p:q] for p, q in zip(lo, hi)]) if len(mine) else np.zeros(0, np.int64)
-                common = np.bincount(seen, minlength=len(order))
-                good = (comps != x["c"]) & (np.minimum(sizes, x["n"]) * row["den"] >= np.maximum(sizes, x["n"]) * row["num"])
-                good &= common * 2 >= np.minimum(np.minimum(sizes, x["n"]), SKETCH)
-                for y in ids[good]:
-                    a.append(min(int(y), x["id"]))
-                    b.append(max(int(y), x["id"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, small: int = 32, block: int = 512) -> DataFrame:
+def _members_of(cell):
+    """ids, components and flat sets (with offsets) of a list of (id, c, s)."""
+    rows = cell.values
+    sets = rows.field("s")
+    to = sets.offsets.to_numpy().astype(np.int64)
+    return rows.field("id").to_numpy(), rows.field("c").to_numpy(), sets.values.to_numpy().view(np.uint64)[to[0] : to[-1]], to - to[0]
+
+
+def _compared(num: int, den: int):
+    """Exhaustive comparison of two blocks of a family on full sets; gives links that join components, no more."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                xs, cx, sx, tx = _members_of(batch.column(0)[k])
+                ys, cy, sy, ty = _members_of(batch.column(1)[k])
+                n = np.diff(ty)
+                order = np.argsort(sy, kind="stable")
+                keys, owner = sy[order], np.repeat(np.arange(len(ys)), n)[order]
+                root: dict[int, int] = {}
+
+                def find(v: int) -> int:
+                    while root.get(v, v) != v:
+                        v = root[v]
+                    return v
+
+                a, b = [], []
+                for i in range(len(xs)):
+                    mine = sx[tx[i] : tx[i + 1]]
+                    lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                    hits = hi - lo
+                    ends = np.cumsum(hits)
+                    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + hits, hits)
+                    common = np.bincount(owner[at], minlength=len(ys))
+                    good = np.flatnonzero((cy != cx[i]) & (common * den >= (n + len(mine) - common) * num))
+                    for j in good:
+                        p, q = find(int(cx[i])), find(int(cy[j]))
+                        if p != q:
+                            root[p] = q
+                            a.append(int(xs[i]))
+                            b.append(int(ys[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _leaf_links(rest: DataFrame, docs: DataFrame, width: int, block: int, num: int, den: int) -> DataFrame:
+    """Links between components among the members of leaves that stay large.
+
+    Leaves that share members are one family, so a document is compared in one place
+    only. In a family all members outside its largest component are compared with all
+    members, block by block.
+    """
+    heads = rest.groupBy("node").agg(F.min("id").alias("a"))
+    families = components(rest.join(heads, "node").select("a", F.col("id").alias("b")))
+    members = rest.select("id", "c").distinct().join(families.select(F.col("v").alias("id"), F.col("component").alias("f")), "id")
+    members = scratch.keep(members, "members")
+    sizes = members.groupBy("f", "c").count()
+    tops = sizes.groupBy("f").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.ceil(F.sum("count") / block).cast("int").alias("parts"))
+    sets = _sets_of(members.select(F.col("id").alias("doc_id")).distinct(), docs, width)
+    full = scratch.keep(members.join(tops, "f").join(sets, "id"), "leaf-sets")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    body = F.struct("id", "c", "s")
+    ys = full.select("f", part.alias("py"), every.alias("px"), body.alias("y"))
+    xs = full.where("c <> top").select("f", part.alias("px"), every.alias("py"), body.alias("x"))
+    keys = ["f", "px", "py"]
+    both = xs.groupBy(keys).agg(F.collect_list("x").alias("xs")).join(ys.groupBy(keys).agg(F.collect_list("y").alias("ys")), keys)
+    return both.select("xs", "ys").mapInArrow(_compared(num, den), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, small: int = 32, block: int = 256) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs(doc_id, text)``.
 
     Documents are linked when the Jaccard similarity of their sets of ``width``-word
@@ -194,7 +315,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
             base = reps.select("id", "n", F.posexplode(tokens).alias("p", "token")).withColumn("node", F.lit(0)).withColumn("tree", F.floor(F.col("p") / BRANCH).cast("int"))
         else:
             own = reps.select("id", tokens)
-            base = nodes.join(own, "id").select("id", "n", "node", "tree", F.explode(F.slice(tokens, F.col("tree") * BRANCH + 1, BRANCH)).alias("token"))
+            base = nodes.join(own, "id").select("id", "n", "node", "tree", F.explode(F.slice(tokens, F.col("tree") * BRANCH + 1, DEEPER)).alias("token"))
         return base.where("token <> -1").select(F.xxhash64("node", "tree", "token").alias("node"), "tree", "id", "n").distinct()
 
     first = scratch.keep(children(None, 1), "nodes")
@@ -212,12 +333,14 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
         lists_ = few.groupBy("node").agg(F.collect_list(F.struct("id", "n", "c")).alias("ms")).withColumns({"_num": F.lit(num), "_den": F.lit(den)})
         found = lists_.select(F.explode(_cross_pairs("ms")).alias("p")).select("p.a", "p.b")
         pairs = found if pairs is None else pairs.unionByName(found)
-        rest = scratch.keep(named.join(open_.where(F.col("m") > small), "node").drop("c") if level == LEVELS else children(named.join(open_.where(F.col("m") > small), "node", "left_semi"), level + 1), "rest")
-        if level == LEVELS and not rest.isEmpty():
-            pairs = pairs.unionByName(_leaf_pairs(rest, named, reps, block, num, den))
-        elif rest.isEmpty():
+        many = named.join(open_.where(F.col("m") > small), "node", "left_semi")
+        rest = scratch.keep(many if level == LEVELS else children(many, level + 1), "rest")
+        if rest.isEmpty():
             break
-    more = scratch.keep(_confirmed(pairs.distinct(), reps, docs, width, num, den), "links")
+    more = _confirmed_in_blocks(pairs.distinct(), docs, width, num, den, block)
+    if not rest.isEmpty():
+        more = more.unionByName(_leaf_links(rest, docs, width, 4 * block, num, den))
+    more = scratch.keep(more, "links")
     if not more.isEmpty():
         tied = components(links.unionByName(more))
     classes = reps.join(tied.select(F.col("v").alias("id"), "component"), "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("c"))
@@ -226,21 +349,6 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _leaf_pairs(rest: DataFrame, named: DataFrame, reps: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs of the leaves that stay large: members outside the largest component against all, block by block."""
-    members = named.join(rest.select("node", "m").distinct(), "node").join(reps.select("id", "sketch"), "id")
-    sizes = members.groupBy("node", "c").count()
-    largest = sizes.groupBy("node").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
-    members = members.join(largest, "node").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    body = F.struct("id", "n", "c", "sketch")
-    ys = members.select("node", part.alias("py"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("px"), body.alias("y"))
-    xs = members.where("c <> top").select("node", part.alias("px"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("py"), body.alias("x"))
-    keys = ["node", "px", "py"]
-    both = xs.groupBy(keys).agg(F.collect_list("x").alias("xs")).join(ys.groupBy(keys).agg(F.collect_list("y").alias("ys")), keys)
-    return both.select("xs", "ys", F.lit(num).alias("num"), F.lit(den).alias("den")).mapInArrow(_blocks_compared, "a long, b long")
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without those whose component has a smaller doc_id; its columns stay.
 
