@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chosen_path, winnow
+from gridloom.llm import bpe, chosen_path, decontam, langid, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no address: their source stands for the host, their lang is the declared language."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("host"), langid.suffix_of(F.col("source")).alias("suffix"))
+    return langid.identify(rows).withColumnRenamed("id", "doc_id")
+
+
+def op1_pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages, with markup language, host and address suffix."""
+    pages = _table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
+    body = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>", " "), r"(?s)<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    declared = F.nullif(F.regexp_extract("html", r'<html[^>]*\blang="([A-Za-z]+)', 1), F.lit(""))
+    rows = pages.select(F.col("page_id").alias("id"), body.alias("text"), declared.alias("lang"), F.nullif(host, F.lit("")).alias("host"))
+    return langid.identify(rows.withColumn("suffix", langid.suffix_of(F.col("host")))).withColumnRenamed("id", "page_id")
+
+
+def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return chosen_path.near_duplicates(docs, num=4, den=5, width=4)
@@ -24,8 +51,14 @@ def op6_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "words_removed", "emptied", "text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_chosen_path": op5_chosen_path, "op6_winnow_lines": op6_winnow_lines}
+    return {f.__name__: f for f in (op1_language_id, op1_pages_language_id, op2_wu_manber, op4_byte_bpe, op5_chosen_path, op6_winnow_lines, pipeline)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,5 +106,24 @@ SELECT doc_id, n_lines, n_removed, words_removed, n_removed > 0 AND trim(text, '
 """
 
 
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, len(g) AS k, array_to_string(g, ' ') AS g FROM (
+    SELECT item_id, CASE WHEN len(ws) < 8 THEN ws ELSE ws[i:i+7] END AS g
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM b WHERE len(ws) > 0))),
+q AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i+k-1], ' ') AS g
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k)),
+h AS (SELECT q.doc_id, q.i, q.k, p.item_id FROM q JOIN p ON p.k = q.k AND p.g = q.g),
+w AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chosen_path": OP5_SQL, "op6_winnow_lines": OP6_SQL}
+    return {"op2_wu_manber": OP2_SQL, "op5_chosen_path": OP5_SQL, "op6_winnow_lines": OP6_SQL}
