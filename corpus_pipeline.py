@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, chosen_path, decontam, langid, scratch, winnow
+from gridloom.shipping import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go."""
+    ship(spark)
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
     rows = docs.select(key.alias("id"), "text", "lang", F.col("source").alias("host"), langid.suffix_of(F.col("source")).alias("suffix"))
     bad = scratch.keep(langid.identify(rows).where("not accepted").select("id").distinct(), "rejected")
@@ -23,21 +25,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of runs that occur earlier in the corpus go, and documents of which nothing is left."""
+    ship(spark)
     return winnow.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    ship(spark)
     return chosen_path.drop_near_duplicates(docs, num=4, den=5, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two benchmark items, or with half of one item's windows, go."""
+    ship(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token counts and digests of the documents that are left."""
+    ship(spark)
     import public_tokenizers
 
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -15,8 +15,9 @@ log P(lang | evidence) = log prior(lang | host, address suffix)
   grouped aggregations over all rows; hosts are joined back by a shuffle, never
   broadcast, so a hot host is split.
 
-A row is accepted when it has letters and its best language has a posterior of
-``least`` or more.
+A text in none of the languages is one more hypothesis: even trigrams, and a
+prior of ``NO_LANGUAGE``. A row is accepted when it has letters and its best
+language has a posterior of ``least`` or more.
 
 Defined cases: null or letterless texts are rejected (their language is the best
 by the other evidence); null or unknown declarations, addresses and hosts are no
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import scratch, textbytes
 
-BUCKETS, SAMPLE, TEMPER, MAX_LANGUAGES = 1 << 15, 20_000, 0.1, 64
+BUCKETS, SAMPLE, TEMPER, MAX_LANGUAGES, NO_LANGUAGE = 1 << 15, 20_000, 0.1, 64, 0.01
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
@@ -88,7 +89,7 @@ def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
 
 
 def _score_rows(table: np.ndarray, temper: float, text_at: int):
-    """Adds ``ll``: tempered log-likelihood of the text in each language, and ``letters``."""
+    """Adds ``ll``, ``none`` (tempered log-likelihoods of the text in each language and in none) and ``letters``."""
     cells_first = np.ascontiguousarray(table.T.astype(np.float32))
 
     def run(batches):
@@ -102,11 +103,12 @@ def _score_rows(table: np.ndarray, temper: float, text_at: int):
                     ll[:, j] = np.bincount(row, weights=cells_first[cell, j], minlength=n)
                 ll *= temper
                 letters = np.add.reduceat(np.concatenate((_LETTER[data], [False])).astype(np.int64), np.minimum(offs[:-1], len(data))) * (np.diff(offs) > 0)
+                none = temper * np.log(1.0 / BUCKETS) * np.bincount(row, minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(ll.reshape(-1)))
                 part = batch.slice(r0, r1 - r0)
                 kept = [c for i, c in enumerate(part.columns) if i != text_at]
                 names = [c for i, c in enumerate(part.schema.names) if i != text_at]
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(letters, pa.int64())], names=[*names, "ll", "letters"])
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(none), pa.array(letters, pa.int64())], names=[*names, "ll", "none", "letters"])
 
     return run
 
@@ -126,7 +128,7 @@ def identify(rows: DataFrame, least: float = 0.5, sample: int = SAMPLE, temper:
         return rows.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     own = rows.select("id", "lang", "host", "suffix", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    scored = own.mapInArrow(_score_rows(table, temper, 4), f"{kinds}, ll array<double>, letters long")
+    scored = own.mapInArrow(_score_rows(table, temper, 4), f"{kinds}, ll array<double>, none double, letters long")
     scored = scratch.keep(scored.withColumn("said", F.when(F.col("letters") > 0, F.array_position("ll", F.array_max("ll")).cast("int") - 1)), "langid")
     k = len(names)
 
@@ -162,6 +164,7 @@ def identify(rows: DataFrame, least: float = 0.5, sample: int = SAMPLE, temper:
     prior = F.transform(F.coalesce("ph", "ps", flat), lambda p: F.log(p))
     score = F.zip_with(F.zip_with("ll", prior, lambda a, b: a + b), F.coalesce("e_lang", zero), lambda a, b: a + b)
     fused = fused.withColumn("score", score).withColumn("top", F.array_max("score"))
-    posterior = 1.0 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    nowhere = F.exp(F.least(F.col("none") + F.lit(float(np.log(NO_LANGUAGE))) - F.col("top"), F.lit(700.0)))
+    posterior = 1.0 / (F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))) + nowhere)
     language = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("score", F.col("top")).cast("int"))
     return fused.select("id", language.alias("language"), posterior.alias("posterior"), ((F.col("letters") > 0) & (posterior >= least)).alias("accepted"))
