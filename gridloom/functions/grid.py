@@ -79,7 +79,7 @@ def lanes(size: Column, rows: Column, want: int) -> Column:
 def native_type(k: Column) -> Column:
     """The block type that holds k levels; even or out-of-range k is an error."""
     bad = F.raise_error(F.concat(F.lit("no block type holds k="), k.cast("string"))).cast("string")
-    return F.when((k % 2 == 0) | (k < 3) | (k > 99), bad).when(k <= 15, "k9_4").when(k <= 63, "k9_6").otherwise("k9_7")
+    return F.when((k % 2 == 0) | (k < 3) | (k > 99), bad).when(k <= 15, "b4").when(k <= 63, "b6").otherwise("b7")
 
 
 def planned_levels(rank: Column, inner: Column, elements: Column, is_table: Column, body: int = 63, aux: int = 99) -> Column:

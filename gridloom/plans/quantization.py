@@ -357,7 +357,7 @@ def lane_counts(spark, sf_dir):
     return o.select("o_orderkey", grid.lanes(F.col("o_totalprice") * 100, F.col("o_orderkey") % 9, 16).alias("lanes"))
 
 
-@query("SELECT p_partkey, CASE WHEN 2 * p_size + 1 <= 15 THEN 'k9_4' WHEN 2 * p_size + 1 <= 63 THEN 'k9_6' ELSE 'k9_7' END AS kind FROM part WHERE p_size BETWEEN 1 AND 49")
+@query("SELECT p_partkey, CASE WHEN 2 * p_size + 1 <= 15 THEN 'b4' WHEN 2 * p_size + 1 <= 63 THEN 'b6' ELSE 'b7' END AS kind FROM part WHERE p_size BETWEEN 1 AND 49")
 def native_types(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_size between 1 and 49")
     return p.select("p_partkey", grid.native_type(2 * F.col("p_size") + 1).alias("kind"))
