@@ -117,7 +117,7 @@ def _sequences(table):
                 cut = np.concatenate(([0], np.cumsum(size)))
                 seqs = [with_end[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(m.slice(r0, r1 - r0) for m in meta), pa.array(size, pa.int64()), pa.array(seqs, pa.binary()), pa.array(settled), pa.array(n_known, pa.int64()), pa.array(own), pa.ListArray.from_arrays(to, pa.array(other[first])), pa.ListArray.from_arrays(to, pa.array(tf.astype(np.int32)))],
+                    [*(m.slice(r0, r1 - r0) for m in meta), pa.array(size, pa.int64()), pa.array(seqs, pa.binary()), pa.array(settled.astype(float)), pa.array(n_known, pa.int64()), pa.array(own.astype(float)), pa.ListArray.from_arrays(to, pa.array(other[first])), pa.ListArray.from_arrays(to, pa.array(tf.astype(np.int32)))],
                     names=["doc_id", "held_out", "n_tokens", "seq", "settled", "n_known", "own", "words", "tf"],
                 )
 
