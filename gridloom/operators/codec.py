@@ -31,6 +31,14 @@ def frequencies(digits: DataFrame, k: int) -> DataFrame:
     return packed.select("tensor", table("h").alias("freqs"))
 
 
+def _alike(freqs, sizes):
+    """Positions of lanes that share a table and a length: they are coded abreast."""
+    groups: dict[tuple, list[int]] = {}
+    for i, (f, n) in enumerate(zip(freqs, sizes)):
+        groups.setdefault((tuple(int(x) for x in f), int(n)), []).append(i)
+    return groups.items()
+
+
 def encode_lanes(digits: DataFrame, k: int, rows_in_lane: int = 64) -> DataFrame:
     """(tensor, lane, rows, n, freqs, stream): lanes of consecutive rows, each a stream of its own, one table a tensor."""
     ship(digits.sparkSession)
@@ -40,7 +48,10 @@ def encode_lanes(digits: DataFrame, k: int, rows_in_lane: int = 64) -> DataFrame
 
     def run(frames):
         for f in frames:
-            streams = [rans.encode(d, rans.Table(tuple(int(x) for x in fr), TOTAL)) for d, fr in zip(f["d"], f["freqs"])]
+            streams = [b""] * len(f)
+            for (freqs, _), at in _alike(f["freqs"], f["d"].map(len)):
+                for i, s in zip(at, rans.encode_many(np.array([f["d"].iloc[i] for i in at]), rans.Table(freqs, TOTAL))):
+                    streams[i] = s
             yield pd.DataFrame({"tensor": f["tensor"], "lane": f["lane"], "rows": f["rows"], "n": f["d"].map(len), "freqs": f["freqs"], "stream": streams})
 
     return lanes.mapInPandas(run, "tensor int, lane long, rows int, n int, freqs array<int>, stream binary")
@@ -52,7 +63,10 @@ def decode_lanes(lanes: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            d = [rans.decode(s, int(n), rans.Table(tuple(int(x) for x in fr), TOTAL)).astype(np.int32) for s, n, fr in zip(f["stream"], f["n"], f["freqs"])]
+            d = [None] * len(f)
+            for (freqs, n), at in _alike(f["freqs"], f["n"]):
+                for i, row in zip(at, rans.decode_many([f["stream"].iloc[i] for i in at], n, rans.Table(freqs, TOTAL))):
+                    d[i] = row
             yield pd.DataFrame({"tensor": f["tensor"], "lane": f["lane"], "d": d})
 
     return lanes.select("tensor", "lane", "n", "freqs", "stream").mapInPandas(run, "tensor int, lane long, d array<int>")

@@ -32,6 +32,16 @@ def test_rans_round_trips(symbols):
     assert rans.decode_nine(digits, state, len(symbols), nine).tolist() == [s % 9 for s in symbols]
 
 
+def test_rans_many_lanes_alike():
+    rng = np.random.default_rng(3)
+    for total, k in ((4096, 63), (4096, 2), (256, 9)):
+        rows = np.minimum(rng.geometric(0.3, (50, 200)) - 1, k - 1)
+        table = rans.Table.of(rows.reshape(-1), k, total)
+        streams = rans.encode_many(rows, table)
+        assert streams == [rans.encode(r, table) for r in rows]
+        assert (rans.decode_many(streams, 200, table) == rows).all()
+
+
 def test_rans_refuses_nothing():
     with pytest.raises(ValueError):
         rans.normalized([0, 0], 4096)
