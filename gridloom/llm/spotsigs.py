@@ -86,8 +86,8 @@ def with_next(docs: DataFrame, fields: list[str], bucket: int = BUCKET) -> DataF
     inner = Window.partitionBy("_g").orderBy("_b")
     ranges = ranges.withColumn("_before", F.lag("_b").over(inner))
     groups = ranges.groupBy("_g").agg(F.max("_b").alias("_last")).withColumn("_prior", F.lag("_last").over(Window.orderBy("_g")))
-    last = groups.agg(F.max("_last").alias("_end"))
-    before = ranges.join(groups, "_g").crossJoin(F.broadcast(last)).select(F.col("_b").alias("_from"), F.coalesce("_before", "_prior", "_end").alias("_b"))
+    end = ranges.agg(F.max("_b")).first()[0]
+    before = ranges.join(groups, "_g").select(F.col("_b").alias("_from"), F.coalesce("_before", "_prior", F.lit(end)).alias("_b"))
     heads = rows.where("_rn = 1").select(F.col("_b").alias("_from"), body.alias("_head")).join(before, "_from").drop("_from")
     return rows.join(heads, "_b").withColumn("next", F.coalesce("_next", "_head")).drop("_b", "_next", "_rn", "_head")
 
