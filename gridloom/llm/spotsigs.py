@@ -35,12 +35,15 @@ ANCHORS = (
 
 
 def _anchor_pattern() -> str:
-    """The anchors as one pattern, branched by first letter; a run of them, at word starts, with the spaces after."""
+    """The anchors as one pattern, branched by first letter: a whole word and the space after it.
+
+    Runs of anchors are met one by one: a repeated group would recurse in Java's matcher.
+    """
     by: dict[str, list[str]] = {}
     for word in sorted(set(ANCHORS.split())):
         by.setdefault(word[0], []).append(word[1:])
     one = "|".join(f"{head}(?:{'|'.join(sorted(rests, key=lambda r: (-len(r), r)))})" for head, rests in sorted(by.items()))
-    return f"(?<= )(?:(?:{one}) )+"
+    return f"(?<= )(?:{one}) "
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:

@@ -285,6 +285,7 @@ def test_fingerprints_across_ranges(spark):
 def test_fingerprints_odd(spark, odd):
     assert spotsigs.fingerprints(odd).count() == odd.count()
     assert spotsigs.fingerprints(odd.limit(0)).count() == 0
+    assert spotsigs.fingerprints(_frame(spark, ["the " * 60_000, "the of and " * 30_000 + "x"])).count() == 2
     one = spotsigs.fingerprints(odd.where("doc_id = 2")).first()
     assert one.fingerprint == "" and one.near_next == 1
 
