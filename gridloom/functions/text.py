@@ -34,17 +34,22 @@ def short_id(key: Column) -> Column:
     return F.substring(F.md5(key.cast("binary")), 1, 12)
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at both ends, line ends too."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 _FENCE = r"(?s)```[^\n`]*\n(.*?)```"
 
 
 def first_block(reply: Column) -> Column:
     """The first fenced block, else the whole reply; trimmed."""
-    return F.trim(F.when(reply.rlike(_FENCE), F.regexp_extract(reply, _FENCE, 1)).otherwise(reply))
+    return stripped(F.when(reply.rlike(_FENCE), F.regexp_extract(reply, _FENCE, 1)).otherwise(reply))
 
 
 def last_block(reply: Column) -> Column:
     """The last fenced block; null without one."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(reply, F.lit(_FENCE), F.lit(1)), F.lit(-1)))
+    return stripped(F.try_element_at(F.regexp_extract_all(reply, F.lit(_FENCE), F.lit(1)), F.lit(-1)))
 
 
 def candidates(code: Column, prefixes: int = 3) -> Column:
@@ -54,7 +59,7 @@ def candidates(code: Column, prefixes: int = 3) -> Column:
     heads = lambda b: F.transform(F.sequence(F.lit(1), F.lit(prefixes)), lambda n: F.array_join(F.slice(lines(b), 1, F.greatest(F.size(lines(b)) - n, F.lit(0))), "\n"))
     tails = lambda b: F.transform(F.sequence(F.lit(1), F.lit(prefixes)), lambda n: F.array_join(F.slice(lines(b), n + 1, F.size(lines(b))), "\n"))
     every = F.flatten(F.concat(F.array(blocks), F.transform(blocks, heads), F.transform(blocks, tails)))
-    return F.filter(F.array_distinct(F.transform(every, lambda x: F.trim(x))), lambda x: x != "")
+    return F.filter(F.array_distinct(F.transform(every, stripped)), lambda x: x != "")
 
 
 def any_match(text: Column, patterns: dict[str, str]) -> Column:

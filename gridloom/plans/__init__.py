@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import codec, corpus, evaluation, quantization  # noqa: F401
+from gridloom.plans import codec, corpus, evaluation, prompts, quantization  # noqa: F401
 from gridloom.plans.registry import QUERIES, SQL
 
 

@@ -108,7 +108,7 @@ def _replies(spark, sf_dir):
     return c.select("conv_id", "turn", F.concat("text", F.lit("\n```python\n"), F.substring("text", 1, 40), F.lit("\n```\nthen\n```\n"), "role", F.lit("\n```")).alias("reply"))
 
 
-@query(f"WITH {_REPLY} SELECT conv_id, turn, trim(regexp_extract(reply, '(?s)```[^\\n`]*\\n(.*?)```', 1)) AS first, trim(regexp_extract_all(reply, '(?s)```[^\\n`]*\\n(.*?)```', 1)[-1]) AS last FROM r")
+@query(f"WITH {_REPLY} SELECT conv_id, turn, trim(regexp_extract(reply, '(?s)```[^\\n`]*\\n(.*?)```', 1), ' ' || chr(9) || chr(10) || chr(13)) AS first, trim(regexp_extract_all(reply, '(?s)```[^\\n`]*\\n(.*?)```', 1)[-1], ' ' || chr(9) || chr(10) || chr(13)) AS last FROM r")
 def code_blocks(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", T.first_block(F.col("reply")).alias("first"), T.last_block(F.col("reply")).alias("last"))
 
