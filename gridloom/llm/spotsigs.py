@@ -72,8 +72,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(none, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def with_next(docs: DataFrame, fields: list[str], bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with ``next``, the named fields of the document with the next doc_id; the last one's is the first.
+def with_next(docs: DataFrame, derive, bucket: int = BUCKET) -> DataFrame:
+    """``derive(docs)`` of ``docs(doc_id, text)`` with ``next``, the struct of the same of the document with the next doc_id; the last one's is the first.
 
     Documents go to ranges of ids of about ``bucket`` documents each, the only shuffle
     of texts. A range's first document is passed to the range before it.
@@ -82,8 +82,10 @@ def with_next(docs: DataFrame, fields: list[str], bucket: int = BUCKET) -> DataF
     low, width = span.a or 0, max(1, -(-((span.b or 0) - (span.a or 0) + 1) // max(1, -(-span.n // bucket))))
     key = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
     order = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    body = F.struct(*fields)
-    rows = docs.withColumn("_b", key).withColumn("_next", F.lead(body).over(order)).withColumn("_rn", F.row_number().over(order))
+    keyed = docs.withColumn("_b", key)
+    rows = derive(keyed)
+    body = F.struct(*[c for c in rows.columns if c not in ("doc_id", "_b")])
+    rows = rows.withColumn("_next", F.lead(body).over(order))
     # the range after each range: by ids alone, in two levels, so that no task sees all ranges
     ranges = docs.select(key.alias("_b")).distinct().withColumn("_g", F.floor(F.col("_b") / 4096))
     inner = Window.partitionBy("_g").orderBy("_b")
@@ -91,14 +93,15 @@ def with_next(docs: DataFrame, fields: list[str], bucket: int = BUCKET) -> DataF
     groups = ranges.groupBy("_g").agg(F.max("_b").alias("_last")).withColumn("_prior", F.lag("_last").over(Window.orderBy("_g")))
     end = ranges.agg(F.max("_b")).first()[0]
     before = ranges.join(groups, "_g").select(F.col("_b").alias("_from"), F.coalesce("_before", "_prior", F.lit(end)).alias("_b"))
-    heads = rows.where("_rn = 1").select(F.col("_b").alias("_from"), body.alias("_head")).join(before, "_from").drop("_from")
-    return rows.join(heads, "_b").withColumn("next", F.coalesce("_next", "_head")).drop("_b", "_next", "_rn", "_head")
+    heads = derive(keyed.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn"))
+    heads = heads.select(F.col("_b").alias("_from"), body.alias("_head")).join(before, "_from").drop("_from")
+    return rows.join(heads, "_b").withColumn("next", F.coalesce("_next", "_head")).drop("_b", "_next", "_head")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness (see the query's contract)."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sigs", signatures(F.col("text")))
-    both = with_next(own, ["text", "sigs"])
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(own, lambda rows: rows.withColumn("sigs", signatures(F.col("text"))))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
     both = both.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
