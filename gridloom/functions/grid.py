@@ -37,8 +37,8 @@ def ternary(w: Column, gamma: Column) -> Column:
     return F.when(w > 0.5 * gamma, 1).when(w < -0.5 * gamma, -1).otherwise(0)
 
 
-def ninth(w: Column, m: Column) -> Column:
-    """Codes -4..4 of the grid of ninths, whose scale is 9m/4."""
+def nine_step_code(w: Column, m: Column) -> Column:
+    """Codes -4..4 of the nine-step grid, whose scale is 9m/4."""
     return F.when(m == 0, 0).otherwise(clamp(F.rint(9.0 * w / (9.0 * m / 4.0)), -4.0, 4.0).cast("int"))
 
 

@@ -171,9 +171,9 @@ def ternary_pairs(spark, sf_dir):
 
 
 @query(f"WITH {M} SELECT tensor, row, col, CASE WHEN m = 0 THEN 0 ELSE least(greatest(round_even(9.0::DOUBLE * w / (9.0::DOUBLE * m / 4.0::DOUBLE), 0), -4), 4)::INT END AS d FROM c JOIN m USING (tensor, row)")
-def ninths(spark, sf_dir):
+def nine_step_codes(spark, sf_dir):
     w = _w(spark, sf_dir).withColumn("m", layout.absmax("v"))
-    return w.select("tensor", "row", F.posexplode(F.transform("v", lambda x: grid.ninth(x, F.col("m")))).alias("col", "d"))
+    return w.select("tensor", "row", F.posexplode(F.transform("v", lambda x: grid.nine_step_code(x, F.col("m")))).alias("col", "d"))
 
 
 @query(f"WITH {C}, g AS (SELECT tensor, row, min(w) AS lo, max(w) AS hi FROM c GROUP BY 1, 2) SELECT tensor, row, col, least(greatest(round_even((w - lo) / greatest((hi - lo) / 8, 1e-12), 0), 0), 8)::INT AS d, {R6.format('lo + least(greatest(round_even((w - lo) / greatest((hi - lo) / 8, 1e-12), 0), 0), 8) * greatest((hi - lo) / 8, 1e-12)')} AS q FROM c JOIN g USING (tensor, row)")
