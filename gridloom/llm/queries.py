@@ -151,5 +151,21 @@ FROM d LEFT JOIN w USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (
+  SELECT *, length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM c),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY back DESC) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY back DESC)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY back DESC) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR back = 1)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_wu_manber": OP2_SQL, "op5_chosen_path": OP5_SQL, "op6_winnow_lines": OP6_SQL}
+    return {"op2_wu_manber": OP2_SQL, "op5_chosen_path": OP5_SQL, "op6_winnow_lines": OP6_SQL, "op9_prefix_target": OP9_SQL}

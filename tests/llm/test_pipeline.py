@@ -53,7 +53,7 @@ def test_pipeline(spark):
 
 def test_query_twins(spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, SF)
