@@ -179,8 +179,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_i
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 2, least_share: float = 0.5, **options) -> DataFrame:
-    """``docs`` without those that hold windows of ``least_items`` items or ``least_share`` of the windows of one item."""
-    found = find_items(docs, items, width, **options)
-    much = F.exists("items", lambda x: x["found"] >= x["windows"] * least_share)
-    return found.where(~((F.size("items") >= least_items) | much)).select(docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, **options) -> DataFrame:
+    """``docs`` without those that hold a window of an item."""
+    return find_items(docs, items, width, **options).where(F.size("items") == 0).select(docs.columns)

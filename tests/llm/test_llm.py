@@ -195,6 +195,13 @@ def test_contamination_odd(spark, odd):
     assert decontam.contamination(odd.limit(0), items).count() == 0
 
 
+def test_part_of_an_item_is_dropped(spark):
+    item = [f"w{k}" for k in range(59)]
+    texts = ["before " + " ".join(item[10:41]) + " after", " ".join(item[:8]), " ".join(item[:7]) + " x " + " ".join(item[7:14]), "clean", "short item"]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "Short, item!")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(_frame(spark, texts), items).collect()) == [2, 3]
+
+
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
