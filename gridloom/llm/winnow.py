@@ -1,7 +1,8 @@
 """Removal of line runs that repeat earlier lines, by winnowing (operator 6, native).
 
 Lines are compared after trimming blanks; blank lines take no part and stay. The
-words of a line are its pieces between single spaces. A *window* is the shortest
+words of a line are its pieces between runs of blanks (tabs and other ASCII
+blanks as well as spaces). A *window* is the shortest
 stretch of consecutive lines that starts (or ends) at a line and has
 ``min_words`` words or more. Each window selects the least of its line hashes as
 a fingerprint, so any two equal runs of ``min_words`` words or more have a
@@ -32,6 +33,7 @@ from gridloom.llm import scratch
 
 MIN_WORDS = 50
 _DOC = ["_doc", "_th"]
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _split_lines(text: str = "text") -> Column:
@@ -42,8 +44,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(_doc, _th, pos, h, g, w, upto, n): all lines; n numbers those with words, upto sums their words."""
     each = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"), F.posexplode(_split_lines()).alias("pos", "line"))
     each = each.withColumn("line", F.expr(r"trim(both ' \t\r' from line)"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    words = F.when(F.col("line") == "", 0).otherwise(spaces + 1).cast("int")
+    words = F.regexp_count("line", F.lit(_WORD)).cast("int")
     each = each.select(*_DOC, "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), words.alias("w"))
     order = Window.partitionBy(*_DOC).orderBy("pos")
     each = each.withColumn("again", F.lag("pos").over(order) == F.col("pos")).where("again is null or not again").drop("again")
@@ -96,7 +97,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split_lines())).cast("long")
-    with_words = F.length(F.translate(text, " \t\r\n", "")) > 0
+    with_words = F.length(F.translate(text, " \t\n\x0b\f\r", "")) > 0
     return joined.select(
         *columns, n_lines.alias("n_lines"), F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_words", F.lit(0)).cast("long").alias("words_removed"), (F.col("_gone").isNotNull() & ~with_words).alias("emptied"),

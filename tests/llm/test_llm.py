@@ -149,6 +149,16 @@ def test_repeated_lines_odd(spark, odd):
     assert winnow.deduplicate_lines(odd.limit(0)).count() == 0
 
 
+def test_repeated_lines_count_words_not_spaces(spark):
+    rows = "\n".join("\t".join(f"c{r}x{c}" for c in range(5)) for r in range(30))
+    padded = "name" + " " * 60 + "value"
+    texts = [rows, "own line\n" + rows, padded, "other line\n" + padded, "\x0b \f", "a\x0bb\fc  d \t e"]
+    got = {r.doc_id: r for r in winnow.deduplicate_lines(_frame(spark, texts)).collect()}
+    assert got[1].text == "own line" and (got[1].n_removed, got[1].words_removed) == (30, 150)
+    assert all(got[n].text == texts[n] and got[n].n_removed == 0 for n in (0, 2, 3, 4, 5))
+    assert [r.w for r in winnow._lines(_frame(spark, texts[4:])).orderBy("_doc").collect()] == [0, 5]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
