@@ -4,12 +4,13 @@ log P(lang | evidence) = log prior(lang | host, address suffix)
                          + log P(text | lang) + log P(declared language | lang)
 
 * Text: byte trigram likelihoods of lower-cased text, hashed to ``BUCKETS`` cells,
-  learnt by grouped counts from at most ``sample`` rows with a declared language
-  (a hash-ordered sample, the documented bound of the fit) and tempered, as the
-  trigrams of a text are not independent.
+  learnt by grouped counts from about ``sample`` rows of each declared language
+  (the first by hash, to the end of a slot of hashes: the documented bound of the
+  fit) and tempered, as the trigrams of a text are not independent.
 * Declared language (the ``lang`` of a page's markup, or of a document) is a noisy
   observation: a confusion table, counted over all rows against the text's own
-  verdict and smoothed.
+  verdict and smoothed. Tags are compared by their first part in lower case
+  (``en-US`` is ``en``); every language declared is kept.
 * Host prior: counts of text verdicts by host, smoothed towards those of the
   address suffix, which are smoothed towards those of the corpus. All three are
   grouped aggregations over all rows; hosts are joined back by a shuffle, never
@@ -29,12 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import scratch, textbytes
 
-BUCKETS, SAMPLE, TEMPER, MAX_LANGUAGES, NO_LANGUAGE = 1 << 15, 20_000, 0.1, 64, 0.01
+BUCKETS, SAMPLE, TEMPER, NO_LANGUAGE = 1 << 15, 20_000, 0.1, 0.01
+_HELD = 64  # languages a worker counts before it sends them on
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
@@ -54,48 +56,62 @@ def _cells(data: np.ndarray, offs: np.ndarray):
 
 
 def _count_cells(batches):
-    """(lang, counts of all cells) of the rows of a partition; one row for each language met."""
+    """(lang, cell, c): counts of the rows of a partition, sent on whenever ``_HELD`` languages are held."""
     total: dict[str, np.ndarray] = {}
+
+    def sent():
+        for lang, t in total.items():
+            cell = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell, pa.int32()), pa.array(t[cell], pa.int64())], names=["lang", "cell", "c"])
+        total.clear()
+
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for r0, _, data, offs in textbytes.blocks(batch.column(1)):
             cell, row, good = _cells(data, offs)
             for k in range(len(offs) - 1):
                 lang = langs[r0 + k]
+                if lang not in total and len(total) == _HELD:
+                    yield from sent()
                 a, b = int(offs[k]), min(int(offs[k + 1]), len(cell))
                 got = np.bincount(cell[a:b][good[a:b]], minlength=BUCKETS)
                 total[lang] = total[lang] + got if lang in total else got
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t.astype(np.int64).tolist() for t in total.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
+    yield from sent()
+
+
+def tag_of(lang: Column) -> Column:
+    """The language of a declared tag: its first part in lower case; tags that start with a single letter stay whole."""
+    tag = F.lower(F.trim(F.translate(lang, "_", "-")))
+    first = F.substring_index(tag, "-", 1)
+    return F.nullif(F.when(F.length(first) == 1, tag).otherwise(first), F.lit(""))
 
 
 def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """The languages declared in ``docs(lang, text)`` and log P(cell | lang), languages by cells."""
     labelled = docs.where("lang is not null and text is not null").select("lang", "text")
-    chosen = labelled.withColumn("_h", F.xxhash64("text"))
-    # a bounded, hash-ordered sample: the hashes alone are ordered, then the rows below the bound are read
-    bound = chosen.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
-    if bound is None:
-        return [], np.zeros((0, BUCKETS))
-    parts = chosen.where(F.col("_h") <= bound).select("lang", "text").mapInArrow(_count_cells, "lang string, counts array<long>")
-    cells = parts.select("lang", F.posexplode("counts").alias("cell", "c")).where("c > 0").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
-    packed = cells.groupBy("lang").agg(F.collect_list(F.struct("cell", "c")).alias("cs")).orderBy(F.size("cs").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    names = sorted(r.lang for r in packed)
+    chosen = labelled.withColumn("_slot", F.shiftright(F.xxhash64("text"), 48))
+    # a bounded, hash-ordered sample of each language: the slots of the hashes are counted, then the rows up to the bound are read
+    before = Window.partitionBy("lang").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = chosen.groupBy("lang", "_slot").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    bounds = slots.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slot").alias("_bound"))
+    taken = chosen.join(F.broadcast(bounds), "lang").where("_slot <= _bound").select("lang", "text")
+    cells = taken.mapInArrow(_count_cells, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
+    packed = cells.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("c").alias("cs")).toArrow().sort_by("lang")
+    names = packed["lang"].to_pylist()
     table = np.ones((len(names), BUCKETS)) * 0.5
-    for r in packed:
-        for x in r.cs:
-            table[names.index(r.lang), x.cell] += x.c
+    for k in range(len(names)):
+        table[k, packed["cells"][k].values.to_numpy()] += packed["cs"][k].values.to_numpy()
     return names, np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def _score_rows(table: np.ndarray, temper: float, text_at: int):
     """Adds ``ll``, ``none`` (tempered log-likelihoods of the text in each language and in none) and ``letters``."""
-    cells_first = np.ascontiguousarray(table.T.astype(np.float32))
+    cells_first, k = np.ascontiguousarray(table.T.astype(np.float32)), len(table)
 
     def run(batches):
         for batch in batches:
             for r0, r1, data, offs in textbytes.blocks(batch.column(text_at)):
-                n, k = len(offs) - 1, table.shape[0]
+                n = len(offs) - 1
                 cell, row, good = _cells(data, offs)
                 cell, row = cell[good], row[good]
                 ll = np.zeros((n, k))
@@ -123,6 +139,7 @@ def identify(rows: DataFrame, least: float = 0.5, sample: int = SAMPLE, temper:
 
     ``lang`` is the declared language; ``host`` and ``suffix`` may be null.
     """
+    rows = rows.withColumn("lang", tag_of(F.col("lang")))
     names, table = fit_text(rows, sample)
     if not names:
         return rows.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))

@@ -270,6 +270,27 @@ def test_language_id(spark, odd):
     assert none.count() == 0
 
 
+def test_language_id_keeps_every_language(spark):
+    """70 languages of a script each, tags in several spellings, and one rare beside a common one."""
+    rnd = random.Random(4)
+
+    def text(k):
+        return " ".join("".join(chr(0x4E00 + 40 * k + rnd.randrange(12)) for _ in range(4)) for _ in range(30))
+
+    tag = lambda k: f"{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    rows = [(n, text(k), t, tag(k)) for n, (k, t) in enumerate((k, t) for k in range(70) for t in (tag(k), tag(k).upper(), f"{tag(k)}-US", f" {tag(k)}_x"))]
+    rows += [(1000 + n, text(0), "aa", "aa") for n in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string, want string").repartition(3)
+    for sample in (langid.SAMPLE, 5):
+        got = langid.identify(docs.select("id", "text", "lang", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("suffix")), sample=sample)
+        want = {r[0]: r[3] for r in rows}
+        assert all(r.accepted and r.language == want[r.id] for r in got.collect())
+    names, _ = langid.fit_text(docs.withColumn("lang", langid.tag_of(F.col("lang"))), 5)
+    assert names == sorted(set(want.values()))
+    odd = spark.createDataFrame([(t,) for t in ("i-klingon", "x_Own", "zh-Hant-TW", "", " ", None)], "t string")
+    assert [r[0] for r in odd.select(langid.tag_of(F.col("t"))).collect()] == ["i-klingon", "x-own", "zh", None, None, None]
+
+
 # --- 3 ------------------------------------------------------------------------------------------------
 
 
