@@ -134,15 +134,14 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """
     spark = docs.sparkSession
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    where = wanted.select(cell.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
-    bits = bytearray(FILTER_BITS // 8 + 4096)
+    # cells count from 1 in Spark's bit maps: bucket b, position p hold cell (b - 1) * 32768 + p, counted from 0
+    where = wanted.select((cell + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
+    bits = bytearray(FILTER_BITS // 8)
     for r in where.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
         at = (r.k - 1) * 4096
         bits[at : at + 4096] = r.m
     sent = spark.sparkContext.broadcast(bytes(bits))
-    # bit 0 of the map is value 1 of bucket 1, or value 0 of bucket 0
-    cells = F.expr("(bitmap_bucket_number(_c) - 1) * 32768 + bitmap_bit_position(_c)")
-    rows = docs.where("doc_id is not null").withColumn("_c", cell).select("doc_id", "text", cells.cast("int").alias("cell"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", cell.cast("int").alias("cell"))
     return rows.mapInArrow(_sets(width, sent), "id long, s array<long>").join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
 
 

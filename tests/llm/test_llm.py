@@ -95,6 +95,19 @@ def test_large_leaves_are_exact(spark):
     test_near_duplicates(spark, texts, 2, 4)
 
 
+def test_documents_of_the_first_and_last_cell(spark):
+    cell = F.pmod(F.xxhash64("id"), F.lit(chosen_path.FILTER_BITS))
+    last = spark.range(60_000_000).where(cell == chosen_path.FILTER_BITS - 1).first().id
+    ids = [25317696, last, 7, 8]
+    assert spark.createDataFrame([(25317696,)], "id long").select(cell).first()[0] == 0
+    words = [f"w{k}" for k in range(100)]
+    docs = _frame(spark, [" ".join(words), " ".join([*words[:99], "other"]), " ".join([*words[:98], "more"]), "alone"], ids)
+    sets = chosen_path._sets_of(docs.select("doc_id").where("doc_id <> 8"), docs, 4).collect()
+    assert sorted(r.id for r in sets) == sorted(ids[:3])
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, num=4, den=5, width=4).collect()}
+    assert got == {25317696: 7, last: 7, 7: 7, 8: 8}
+
+
 def test_near_duplicates_odd(spark, odd):
     rows = {(r.doc_id, r.n_shingles): r for r in chosen_path.near_duplicates(odd, width=4).collect()}
     assert rows[1, 0].component_id == 1 and rows[2, 0].kept
