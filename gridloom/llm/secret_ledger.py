@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import scratch
 
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 BASE = ("assign", "access", "hex")
 # kind, pattern, group whose length counts, least length; in the order of the output
 RULES = (
@@ -33,7 +33,7 @@ RULES = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
     ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 20),
-    ("basic_auth", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"), 0, 8),
+    ("basic_auth", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"), 0, 8),
 )
 # A text without any of a kind's marks (in lower case) can't match it.
 MARKS = {"assign": ("passw", "secret", "token", "apikey", "api_key"), "access": ("akia",), "private_key": ("private key",), "web_token": ("eyj",), "basic_auth": ("://",)}

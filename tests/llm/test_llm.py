@@ -448,6 +448,13 @@ def _brute_secrets(text):
     return sorted(found)
 
 
+def test_credentials_of_any_length():
+    for user, word in (("u", "p" * 93), ("u" * 65, "p" * 3), ("u" * 300, "p" * 5000), ("u", "ppp")):
+        url = f"https://{user}:{word}@"
+        assert secret_ledger.find_spans(f"see {url}host/x") == [(4, "basic_auth", 4 + len(url))]
+    assert secret_ledger.find_spans("https://u:pp@host https://host:8080/a@b") == []
+
+
 def test_secrets(spark, odd, tmp_path):
     texts = ["é password = 'hunter22hunter' x", "paſſword: abcdefghij", "AKIA" + "A" * 12, "AKIA" + "A" * 11, "ab" * 16 + "g" + "0" * 31, "Api_Key:\"" + "z" * 8, "secret=short", None, "", "token=token=abcdefgh1"]
     got = {r.doc_id: r for r in secret_ledger.digest(secret_ledger.findings(_frame(spark, texts))).collect()}
