@@ -16,11 +16,13 @@ Decoding. A state machine over UTF-8 takes one token at a time and gives out
 whole code points; its transitions (state, token) are compiled lazily too. It
 can stop and go on at any token, and holds three pending bytes at most.
 
-Tables are compiled once in each Python worker. The number of kept states, pieces
-and neighbour tests is bounded, which costs time but never changes a result.
+Tables are compiled once in each Python worker. Kept states and neighbour tests are
+bounded by number and kept pieces by bytes, and all are forgotten when a task ends;
+that costs time but never changes a result.
 
-Defined cases: null text is encoded as empty: no tokens; columns beside the id
-and the text are ignored by :func:`encode`. A piece that is a token as a whole
+Defined cases: null and empty texts have no tokens; a text of any length is coded
+whole; repeated rows are coded each; a null id stays null; an empty table gives no
+rows; columns beside the id and the text are ignored, whatever their names. A piece that is a token as a whole
 is that token, as in the tiktoken library.
 """
 
@@ -34,7 +36,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES, MAX_PIECES, MAX_FITS = 20_000, 500_000, 400_000
+from gridloom.llm import textbytes
+
+MAX_STATES, MAX_FITS, MAX_MOVES, MAX_HELD = 20_000, 200_000, 50_000, 64 << 20
 
 
 _WIDE = 20  # bits of a token number within a key
@@ -47,7 +51,6 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self._compile()
-        self._fit: dict[int, bool] = {}  # (token, token) -> whether they may be neighbours
         self.reset()
 
     def _compile(self) -> None:
@@ -111,12 +114,22 @@ class Transducer:
                 until, strict, b = b, False, y
 
     def reset(self) -> None:
-        start = (((), -1, 0),)
-        self._hypotheses = [start]
-        self._number = {start: 0}
+        """Forget all states but the start, which is number 0, and all neighbour tests."""
+        self._fit: dict[int, bool] = {}  # (token, token) -> whether they may be neighbours
+        self._hypotheses = []
+        self._number: dict[tuple, int] = {}
         self._move: dict[int, int] = {}  # (state, byte) -> state
         self._emit: dict[int, tuple[int, ...]] = {}  # (state, byte) -> tokens, where any
-        self._final: list[tuple[int, ...]] = [()]
+        self._final: list[tuple[int, ...]] = []
+        self._state((((), -1, 0),))
+
+    def _state(self, target: tuple) -> int:
+        number = self._number.get(target)
+        if number is None:
+            number = self._number[target] = len(self._hypotheses)
+            self._hypotheses.append(target)
+            self._final.append(next((out for out, _, node in target if node == 0), ()))
+        return number
 
     def _step(self, state: int, byte: int) -> int:
         edge, token_at, inner, fit, live = self._edge, self._token_at, self._inner, self._fit, []
@@ -131,7 +144,7 @@ class Transducer:
                 else:
                     good = fit.get(last << _WIDE | token)
                     if good is None:
-                        if len(fit) > MAX_FITS:
+                        if len(fit) >= MAX_FITS:
                             fit.clear()
                         good = fit[last << _WIDE | token] = self._walk(last, token)
                 if good:
@@ -151,16 +164,7 @@ class Transducer:
         if cut:
             live = [(out[cut:], last, node) for out, last, node in live]
             self._emit[state << 8 | byte] = shared
-        target = tuple(live)
-        number = self._number.get(target)
-        if number is None:
-            number = self._number[target] = len(self._hypotheses)
-            self._hypotheses.append(target)
-            final = ()
-            for out, _, node in target:
-                if node == 0:
-                    final = out
-            self._final.append(final)
+        number = self._state(tuple(live))
         self._move[state << 8 | byte] = number
         return number
 
@@ -175,7 +179,7 @@ class Transducer:
             if token >= 0:
                 good = True if last < 0 else fit.get(last << _WIDE | token)
                 if good is None:
-                    if len(fit) > MAX_FITS:
+                    if len(fit) >= MAX_FITS:
                         fit.clear()
                     good = fit[last << _WIDE | token] = self._walk(last, token)
                 if good:
@@ -273,6 +277,9 @@ class StreamDecoder:
         self.bytes_of = bytes_of
         self._moves: dict[tuple, tuple[tuple, str]] = {}
 
+    def forget(self) -> None:
+        self._moves.clear()
+
     def move(self, state: tuple, token: int) -> tuple[tuple, str]:
         known = self._moves.get((state, token))
         if known is not None:
@@ -296,7 +303,7 @@ class StreamDecoder:
                 out.append(begun.decode("utf-8"))
                 begun.clear()
         result = ((machine, bytes(begun)), "".join(out))
-        if len(self._moves) > MAX_PIECES:
+        if len(self._moves) >= MAX_MOVES:
             self._moves.clear()
         self._moves[(state, token)] = result
         return result
@@ -324,19 +331,37 @@ class Codec:
         self.decoder = StreamDecoder(self.machine.bytes_of)
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.held = 0  # bytes of ``known``, about
         # The decoder's transitions from its start to its start: tokens of whole code points.
-        moves = ((token, self.decoder.move(StreamDecoder.START, token)) for token in self.machine.bytes_of)
-        self.closed = {str(token): text for token, (state, text) in moves if state == StreamDecoder.START}
+        self.closed: dict[str, str] = {}
+        for token in self.machine.bytes_of:
+            state, text = self.decoder.move(StreamDecoder.START, token)
+            if state == StreamDecoder.START:
+                self.closed[str(token)] = text
+        self.decoder.forget()
+
+    def forget(self) -> None:
+        """Back to the compiled tables."""
+        self.machine.reset()
+        self.decoder.forget()
+        self.known, self.old, self.held = {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[str]:
         """Each text's ids as decimal numbers joined by spaces."""
         cut = [self.pieces(text) for text in texts]
-        known = self.known
-        if len(known) > MAX_PIECES:
-            known.clear()
+        if self.held > MAX_HELD // 2:  # the older half goes; what is met again is taken over
+            self.old, self.known, self.held = self.known, {}, 0
+        known, old = self.known, self.old
         new = set().union(*cut) - known.keys()
+        again = new & old.keys()
+        for piece in again:
+            ids = known[piece] = old[piece]
+            self.held += 200 + len(piece) + len(ids)
+        new -= again
         for piece, tokens in self.machine.encode_pieces([piece.encode("utf-8") for piece in new]):
-            known[piece.decode("utf-8")] = " ".join(map(str, tokens))
+            ids = known[piece.decode("utf-8")] = " ".join(map(str, tokens))
+            self.held += 200 + len(piece) + len(ids)
         ids_of = known.__getitem__
         return [" ".join(map(ids_of, pieces)) for pieces in cut]
 
@@ -369,7 +394,20 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _batches(ids, texts, chars: int = 1 << 20):
+def _coding(path: str, pattern: str, work):
+    """``work(codec, batches)``; what the codec has learnt is forgotten at the end of the task."""
+
+    def run(batches):
+        coder = codec(path, pattern)
+        try:
+            yield from work(coder, batches)
+        finally:
+            coder.forget()
+
+    return textbytes.lean(run)
+
+
+def _batches(ids, texts, chars: int = 1 << 18):
     """Rows in runs of about ``chars`` characters; a longer text is a run of its own."""
     row, held, size = 0, [], 0
     for k in range(len(texts)):
@@ -381,49 +419,40 @@ def _batches(ids, texts, chars: int = 1 << 20):
             row, held, size = k + 1, [], 0
 
 
-def _token_rows(path: str, pattern: str):
-    def run(batches):
-        coder = codec(path, pattern)
-        for batch in batches:
-            for ids, texts in _batches(batch.column(0), batch.column(1)):
-                tokens = [[int(i) for i in made.split(" ")] if made else [] for made in coder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
-
-    return run
+def _token_rows(coder: Codec, batches):
+    for batch in batches:
+        for ids, texts in _batches(batch.column(0), batch.column(1)):
+            tokens = [[int(i) for i in made.split(" ")] if made else [] for made in coder.encode(texts)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, tokens) of every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(_token_rows(path, pattern), "doc_id long, tokens array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_coding(path, pattern, _token_rows), "doc_id long, tokens array<int>")
 
 
-def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, text) of every row of ``tokens(doc_id, tokens)``; null tokens give null."""
-
-    def run(batches):
-        coder = codec(path, pattern).decoder
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                texts = [None if row is None else coder.decode(row) for row in batch.column(1).slice(k, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array(texts, pa.string())], names=["doc_id", "text"])
+def _text_rows(coder: Codec, batches):
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            texts = [None if row is None else coder.decoder.decode(row) for row in batch.column(1).slice(k, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
 
+def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, text) of every row of ``tokens(doc_id, tokens)``; null tokens give null."""
+    return tokens.select("doc_id", "tokens").mapInArrow(_coding(path, pattern, _text_rows), "doc_id long, text string")
 
-def _digest_rows(path: str, pattern: str):
-    def run(batches):
-        coder = codec(path, pattern)
-        for batch in batches:
-            for ids, texts in _batches(batch.column(0), batch.column(1)):
-                made = coder.encode(texts)
-                n = [m.count(" ") + 1 if m else 0 for m in made]
-                of_ids = [hashlib.sha256(m.encode()).hexdigest() for m in made]
-                of_texts = [hashlib.sha256(coder.decode(m).encode("utf-8")).hexdigest() for m in made]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+def _digest_rows(coder: Codec, batches):
+    for batch in batches:
+        for ids, texts in _batches(batch.column(0), batch.column(1)):
+            made = coder.encode(texts)
+            n = [m.count(" ") + 1 if m else 0 for m in made]
+            of_ids = [hashlib.sha256(m.encode()).hexdigest() for m in made]
+            of_texts = [hashlib.sha256(coder.decode(m).encode("utf-8")).hexdigest() for m in made]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what :func:`encode` and then :func:`decode` give, as digests."""
-    return docs.select("doc_id", "text").mapInArrow(_digest_rows(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_coding(path, pattern, _digest_rows), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

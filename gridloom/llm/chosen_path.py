@@ -12,8 +12,9 @@ with a chance of 0.92 and miss 4 in 10^5. Links are confirmed on full sets.
 The work within nodes is kept linear in the rows:
 
 * Equal sets are one class and enter the trees once, as their smallest doc_id.
-* Every node first ties all its members to one pivot (a star); confirmed stars
-  are joined to components. Of what remains, only pairs *between different
+* Every node first ties all its members to one pivot (a star); stars that their
+  sketches refuse are left to the later steps, the others are confirmed on full
+  sets and joined to components. Of what remains, only pairs *between different
   components* can change the result, so a node whose members are all in one
   component is finished.
 * An unfinished node of at most ``small`` members is compared exhaustively. A
@@ -24,7 +25,9 @@ The work within nodes is kept linear in the rows:
 
 Defined cases: null or wordless text has an empty set, links with nothing and
 is its own component; null doc_id rows get a null component and kept = false;
-repeated doc_ids count as versions of one document; other columns are ignored.
+repeated doc_ids count as versions of one document; of equal texts the smallest
+doc_id stands for all; a text of any length is taken whole; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import scratch, textbytes
 from gridloom.llm.components import components
 
-TREES, LEVELS, BRANCH, DEEPER, SKETCH = 4, 3, 3, 2, 64
+TREES, LEVELS, BRANCH, DEEPER, SKETCH, BLOCK_SHINGLES = 4, 3, 3, 2, 64, 1 << 19
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -105,43 +108,50 @@ def _profile(width: int):
                     names=["doc_id", "n", "hi", "lo", "sketch", *(f"t{k + 1}" for k in range(LEVELS))],
                 )
 
-    return run
+    return textbytes.lean(run)
 
 
-FILTER_BITS = 1 << 24
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def _sets(width: int, bits):
     def run(batches):
-        member = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
+        held = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
             cells = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array(member[cells]))
+            some = batch.filter(pa.array((held[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)))
             for r0, r1, data, offs in textbytes.blocks(some.column(1)):
                 flat, to = shingle_sets(data, offs, width)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).slice(r0, r1 - r0), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "s"]
                 )
 
-    return run
+    return textbytes.lean(run)
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(id, s): the full sets of the documents with the ``wanted`` ids.
 
-    Texts are not shuffled: a bit map of fixed size (2 MB) is broadcast, sets are made
-    where its bits are set, and the exact ids are joined afterwards.
+    Texts are not shuffled: a bit map of about 16 bits an id (128 kB to 16 MB) is
+    broadcast, sets are made where its bits are set, and the exact ids are joined
+    afterwards. Past some 30 million ids, where such a map lets too much through,
+    the ids are joined to the texts before it as well.
     """
     spark = docs.sparkSession
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    wanted = scratch.keep(wanted, "wanted")
+    count = wanted.count()
+    size = min(max(1 << (16 * count).bit_length(), LEAST_BITS), MOST_BITS)
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     # cells count from 1 in Spark's bit maps: bucket b, position p hold cell (b - 1) * 32768 + p, counted from 0
     where = wanted.select((cell + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
-    bits = bytearray(FILTER_BITS // 8)
-    for r in where.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
+    bits = bytearray(size // 8)
+    for r in where.toLocalIterator():  # at most size / 32768 rows of 4 kB
         at = (r.k - 1) * 4096
         bits[at : at + 4096] = r.m
     sent = spark.sparkContext.broadcast(bytes(bits))
-    rows = docs.where("doc_id is not null").select("doc_id", "text", cell.cast("int").alias("cell"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", cell.alias("cell"))
+    if 4 * count > size:
+        rows = rows.join(wanted, "doc_id", "left_semi")
     return rows.mapInArrow(_sets(width, sent), "id long, s array<long>").join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi")
 
 
@@ -162,19 +172,26 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, n
     sets = scratch.keep(_sets_of(wanted, docs, width), "sets")
     full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return full.where(common * den >= (F.size("sa") + F.size("sb") - common) * num).select("a", "b")
+    found = scratch.keep(full.where(common * den >= (F.size("sa") + F.size("sb") - common) * num).select("a", "b"), "links")
+    scratch.drop(likely, sets)
+    return found
+
+
+def _parts(count: Column, shingles: Column, block: int) -> Column:
+    """The number of parts that keeps one to about ``block`` sets and ``BLOCK_SHINGLES`` shingles (4 MB)."""
+    return F.greatest(F.ceil(count / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+def _confirmed_in_blocks(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
     """As :func:`_confirmed`, for pairs that lie thick: each set is sent once to a block of pairs, not once a pair.
 
     A document's block is led by the least of its partners, so families fall together;
-    large families are cut into parts of about ``block`` documents.
+    large families are cut into parts, by the number and the summed size of their sets.
     """
     pairs = scratch.keep(pairs, "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lead = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("k"))
-    sizes = lead.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    lead = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("k")).join(reps.select(F.col("id").alias("a"), "n"), "a")
+    sizes = lead.groupBy("k").agg(_parts(F.count("*"), F.sum("n"), block).alias("parts"))
     lead = lead.join(sizes, "k").select(F.col("a").alias("id"), F.struct("k", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("p")).alias("g"))
     lead = scratch.keep(lead, "lead")
     routed = pairs.join(lead.toDF("a", "ga"), "a").join(lead.toDF("b", "gb"), "b")
@@ -184,7 +201,9 @@ def _confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, width: int, num: int
     sent = routed.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
     sent = sent.groupBy(*keys).agg(F.collect_list(F.struct("id", "s")).alias("sets"))
     lists = routed.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("ps"))
-    return sent.join(lists, keys).select("sets", "ps").mapInArrow(_check_block(num, den), "a long, b long")
+    found = scratch.keep(sent.join(lists, keys).select("sets", "ps").mapInArrow(textbytes.lean(_check_block(num, den)), "a long, b long"), "links")
+    scratch.drop(pairs, lead, routed)
+    return found
 
 
 def _check_block(num: int, den: int):
@@ -269,7 +288,7 @@ def _compared(num: int, den: int):
     return run
 
 
-def _leaf_links(rest: DataFrame, docs: DataFrame, width: int, block: int, num: int, den: int) -> DataFrame:
+def _leaf_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int, block: int, num: int, den: int) -> DataFrame:
     """Links between components among the members of leaves that stay large.
 
     Leaves that share members are one family, so a document is compared in one place
@@ -278,10 +297,10 @@ def _leaf_links(rest: DataFrame, docs: DataFrame, width: int, block: int, num: i
     """
     heads = rest.groupBy("node").agg(F.min("id").alias("a"))
     families = components(rest.join(heads, "node").select("a", F.col("id").alias("b")))
-    members = rest.select("id", "c").distinct().join(families.select(F.col("v").alias("id"), F.col("component").alias("f")), "id")
+    members = rest.select("id", "n", "c").distinct().join(families.select(F.col("v").alias("id"), F.col("component").alias("f")), "id")
     members = scratch.keep(members, "members")
-    sizes = members.groupBy("f", "c").count()
-    tops = sizes.groupBy("f").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.ceil(F.sum("count") / block).cast("int").alias("parts"))
+    sizes = members.groupBy("f", "c").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+    tops = sizes.groupBy("f").agg(F.max_by("c", F.struct("count", "c")).alias("top"), _parts(F.sum("count"), F.sum("shingles"), block).alias("parts"))
     sets = _sets_of(members.select(F.col("id").alias("doc_id")).distinct(), docs, width)
     full = scratch.keep(members.join(tops, "f").join(sets, "id"), "leaf-sets")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -291,7 +310,9 @@ def _leaf_links(rest: DataFrame, docs: DataFrame, width: int, block: int, num: i
     xs = full.where("c <> top").select("f", part.alias("px"), every.alias("py"), body.alias("x"))
     keys = ["f", "px", "py"]
     both = xs.groupBy(keys).agg(F.collect_list("x").alias("xs")).join(ys.groupBy(keys).agg(F.collect_list("y").alias("ys")), keys)
-    return both.select("xs", "ys").mapInArrow(_compared(num, den), "a long, b long")
+    found = scratch.keep(both.select("xs", "ys").mapInArrow(textbytes.lean(_compared(num, den)), "a long, b long"), "links")
+    scratch.drop(members, full)
+    return found
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, small: int = 32, block: int = 256) -> DataFrame:
@@ -320,10 +341,10 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
     first = scratch.keep(children(None, 1), "nodes")
     pivots = first.groupBy("node").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("node", "a")
     stars = first.join(pivots, "node").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = scratch.keep(_confirmed(stars, reps, docs, width, num, den), "links")
+    links = _confirmed(stars, reps, docs, width, num, den)
     tied = scratch.keep(components(links), "tied")
 
-    rest, pairs = first, None
+    rest, pairs, passed = first, None, [first]
     for level in range(1, LEVELS + 1):
         named = rest.join(tied.select(F.col("v").alias("id"), F.col("component").alias("c0")), "id", "left").select("node", "tree", "id", "n", F.coalesce("c0", "id").alias("c"))
         named = scratch.keep(named, "named")
@@ -334,12 +355,13 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
         pairs = found if pairs is None else pairs.unionByName(found)
         many = named.join(open_.where(F.col("m") > small), "node", "left_semi")
         rest = scratch.keep(many if level == LEVELS else children(many, level + 1), "rest")
+        passed += [named, rest]
         if rest.isEmpty():
             break
-    more = _confirmed_in_blocks(pairs.distinct(), docs, width, num, den, block)
+    more = _confirmed_in_blocks(pairs.distinct(), reps, docs, width, num, den, block)
     if not rest.isEmpty():
-        more = more.unionByName(_leaf_links(rest, docs, width, 4 * block, num, den))
-    more = scratch.keep(more, "links")
+        more = more.unionByName(_leaf_links(rest, reps, docs, width, 4 * block, num, den))
+    scratch.drop(*passed)
     if not more.isEmpty():
         tied = components(links.unionByName(more))
     classes = reps.join(tied.select(F.col("v").alias("id"), "component"), "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("c"))

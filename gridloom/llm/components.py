@@ -32,6 +32,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         after = small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         after = scratch.keep(after, "edges")
         same = _digest(now) == _digest(after)
+        scratch.drop(now)
         now = after
         if same:
             break

@@ -9,23 +9,30 @@ block's bucket of patterns, keyed by the window, selects test strings, and a
 direct comparison confirms each occurrence. All occurrences are found.
 
 The items are the stated query set. They are compiled in blocks of at most
-``block_bytes`` of item text, each broadcast in turn to a scan of all documents;
-usually there is one block and the scan needs no shuffle.
-
-Defined cases: null text has no words; null or wordless items have no windows;
-items without an id are ignored; items that share an id count once; item ids
-are compared as strings. Other columns of the documents are kept.
+``block_bytes`` of item text (tables take some 200 times that in each worker), each
+broadcast in turn to a scan of all documents without a shuffle. Usually there is
+one block; with more, a scan adds what it finds to the rows of the scan before,
+which are written in between so that a worker holds one block's tables at a time.
+
+Defined cases: null and empty texts have no words; a text of any length is scanned
+whole; null or wordless items have no windows; items without an id are ignored;
+items that share an id count as one; item ids are compared as strings; no items, or
+no documents, is no finding; repeated rows are scanned each. Other columns of the
+documents are kept, whatever their names (``find_items`` adds three of its own).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, BLOCK_BYTES = 8, 8 << 20
+from gridloom.llm import scratch, textbytes
+
+WIDTH, BLOCK_BYTES = 8, 1 << 19
 # A-Z become a-z; ASCII other than letters and digits becomes a space; the rest stays.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -118,7 +125,19 @@ def _matcher(key: str, items, width: int) -> Matcher:
 _FOUND = "n_words long, spans array<struct<first:int,end:int>>, items array<struct<item:string,found:int,windows:int>>"
 
 
-def _scan(key: str, items, width: int, text_at: int):
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
+    return out
+
+
+def _scan(key: str, items, width: int, text_at: int, follows: bool):
+    """Adds the three columns of ``_FOUND``; where it ``follows`` another scan they are there and are added to."""
     kind = pa.struct([("first", pa.int32()), ("end", pa.int32())])
     of_item = pa.struct([("item", pa.string()), ("found", pa.int32()), ("windows", pa.int32())])
 
@@ -126,48 +145,39 @@ def _scan(key: str, items, width: int, text_at: int):
         matcher = _matcher(key, items, width)
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary())
+            own = batch.num_columns - (3 if follows else 0)
             for k in range(0, len(batch), 512):
-                n, spans, found = [], [], []
-                for text in texts.slice(k, 512):
+                part, n, spans, found = batch.slice(k, 512), [], [], []
+                before = zip(part.column(own + 1).to_pylist(), part.column(own + 2).to_pylist()) if follows else itertools.repeat(([], []))
+                for text, (old_spans, old_items) in zip(texts.slice(k, 512), before):
                     a, b, c = matcher.scan(text.as_py() or b"")
                     n.append(a)
-                    spans.append([{"first": x, "end": y} for x, y in b])
-                    found.append([{"item": i, "found": len(ps), "windows": len(matcher.total[i])} for i, ps in sorted(c.items())])
-                part = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(found, pa.list_(of_item))], names=[*part.schema.names, "n_words", "spans", "items"])
+                    spans.append([{"first": x, "end": y} for x, y in _joined([*b, *((s["first"], s["end"]) for s in old_spans)])])
+                    found.append(sorted([{"item": i, "found": len(ps), "windows": len(matcher.total[i])} for i, ps in c.items()] + old_items, key=lambda x: x["item"]))
+                names = [f"c{i}" for i in range(own)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], pa.array(n, pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(found, pa.list_(of_item))], names=[*names, "n_words", "spans", "items"])
 
-    return run
+    return textbytes.lean(run)
 
 
 def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, hit word ``spans`` and ``items`` (item, windows found, windows in all)."""
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
     named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    named = scratch.keep(named, "items")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-int(size) // block_bytes) or 1
-    scans = []
+    # within, columns go by their place, so that no name of the table's own can clash
+    rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     for k in range(parts):
         block = named if parts == 1 else named.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        rows = sorted((r.item, bytes(r.text)) for r in block.toLocalIterator())
-        key = hashlib.sha256(repr((width, rows)).encode()).hexdigest()
-        sent = spark.sparkContext.broadcast(rows)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        scans.append(docs.mapInArrow(_scan(key, sent, width, docs.columns.index("text")), f"{fields}, {_FOUND}"))
-    if parts == 1:
-        return scans[0]
-    # Blocks of items: spans and items of a row are put together; rows that repeat stay apart by their count.
-    every = scans[0]
-    for scan in scans[1:]:
-        every = every.unionByName(scan)
-    own = docs.columns
-    put = every.groupBy(*own).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count("*") / parts).cast("int").alias("_times"))
-    put = put.withColumn("spans", F.array_sort(F.array_distinct("spans"))).withColumn("items", F.array_sort(F.array_distinct("items")))
-    put = put.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times")
-    merged = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<first:int,end:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return put.withColumn("spans", merged)
+        held = sorted((r.item, bytes(r.text)) for r in block.toLocalIterator())
+        key = hashlib.sha256(repr((width, held)).encode()).hexdigest()
+        sent = spark.sparkContext.broadcast(held)
+        scanned = rows.mapInArrow(_scan(key, sent, width, columns.index("text"), k > 0), f"{fields}, {_FOUND}")
+        rows = scanned if k + 1 == parts else scratch.keep(scanned, "found")
+    return rows.toDF(*columns, "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 2, **options) -> DataFrame:
@@ -181,4 +191,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """``docs`` without those that hold a window of an item."""
-    return find_items(docs, items, width, **options).where(F.size("items") == 0).select(docs.columns)
+    inner = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    clean = find_items(inner, items, width, **options).where(F.size("items") == 0)
+    return clean.select(inner.columns).toDF(*docs.columns)

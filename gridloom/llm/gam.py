@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out_of(F.col("doc_id")))
     chosen = marked.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
-    table = rows.mapInArrow(_feature_rows, "y int, x array<double>").toArrow()  # at most ``sample`` rows, and repeats of their ids
+    table = rows.mapInArrow(textbytes.lean(_feature_rows), "y int, x array<double>").toArrow()  # at most ``sample`` rows, and repeats of their ids
     x = table.column("x").combine_chunks()
     flat = x.flatten().to_numpy() if len(x) else np.zeros(0)
     x, y = flat.reshape(-1, len(NAMES)), table.column("y").to_numpy().astype(float)
@@ -206,4 +206,4 @@ def score_texts(docs: DataFrame, model: Additive) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), batch.column(1).slice(r0, r1 - r0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(textbytes.lean(run), "doc_id long, held_out boolean, score double, predicted int")

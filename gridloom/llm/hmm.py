@@ -198,7 +198,7 @@ def train(seqs: DataFrame, rounds: int = ROUNDS):
     model = _start()
     for _ in range(rounds):
         sent = seqs.sparkSession.sparkContext.broadcast(model)
-        total = seqs.mapInArrow(_expect(sent), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a fixed number of rows
+        total = seqs.mapInArrow(textbytes.lean(_expect(sent)), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a fixed number of rows
         flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
         for r in total:
             flat[r.i] = r.x
@@ -248,7 +248,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_of(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = rows.where("not held_out").select("text").mapInArrow(_count_words, "h long, k int, c long")
+    counts = rows.where("not held_out").select("text").mapInArrow(textbytes.lean(_count_words), "h long, k int, c long")
     counts = scratch.keep(counts.groupBy("h").agg(F.min("k").alias("k"), F.sum("c").alias("c")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = n + v + 1
@@ -267,10 +267,10 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     log_base = np.log10((cs + 1.0) / denominator)
     sent = spark.sparkContext.broadcast((hs, cs, ks, np.log10(mass / denominator), log_base))
     kinds = "doc_id long, held_out boolean, n_tokens long, seq binary, settled double, n_known long, own double, words array<long>, tf array<int>"
-    seqs = scratch.keep(rows.mapInArrow(_sequences(sent), kinds).withColumn("rid", F.monotonically_increasing_id()), "sequences")
+    seqs = scratch.keep(rows.mapInArrow(textbytes.lean(_sequences(sent)), kinds).withColumn("rid", F.monotonically_increasing_id()), "sequences")
 
     model = spark.sparkContext.broadcast(train(seqs.where("not held_out").select("seq"), rounds))
-    hmm = seqs.select("rid", "seq").mapInArrow(_forward(model), "rid long, hmm double")
+    hmm = seqs.select("rid", "seq").mapInArrow(textbytes.lean(_forward(model)), "rid long, hmm double")
     rare = seqs.select("rid", F.explode(F.arrays_zip("words", "tf")).alias("w")).select("rid", F.col("w.words").alias("h"), F.col("w.tf").alias("tf"))
     met = rare.join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     lp = F.log10((F.col("c") + 1) / F.lit(float(denominator)))

@@ -95,7 +95,7 @@ def fit_text(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
     slots = chosen.groupBy("lang", "_slot").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
     bounds = slots.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slot").alias("_bound"))
     taken = chosen.join(F.broadcast(bounds), "lang").where("_slot <= _bound").select("lang", "text")
-    cells = taken.mapInArrow(_count_cells, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
+    cells = taken.mapInArrow(textbytes.lean(_count_cells), "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c"))
     packed = cells.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("c").alias("cs")).toArrow().sort_by("lang")
     names = packed["lang"].to_pylist()
     table = np.ones((len(names), BUCKETS)) * 0.5
@@ -145,7 +145,7 @@ def identify(rows: DataFrame, least: float = 0.5, sample: int = SAMPLE, temper:
         return rows.select("id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     own = rows.select("id", "lang", "host", "suffix", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    scored = own.mapInArrow(_score_rows(table, temper, 4), f"{kinds}, ll array<double>, none double, letters long")
+    scored = own.mapInArrow(textbytes.lean(_score_rows(table, temper, 4)), f"{kinds}, ll array<double>, none double, letters long")
     scored = scratch.keep(scored.withColumn("said", F.when(F.col("letters") > 0, F.array_position("ll", F.array_max("ll")).cast("int") - 1)), "langid")
     k = len(names)
 

@@ -1,8 +1,9 @@
 """Tables written to the folder that the driver and all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that
-is unset (tests, a laptop) one is made for the session. Writing a table cuts
-lineage, survives lost executors and needs no block replication.
+is unset one is made for the session if all runs on this machine (tests, a
+laptop); a cluster must name one. Writing a table cuts lineage, survives lost
+executors and needs no block replication.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def folder(spark: SparkSession) -> str:
         if held.isDefined():
             named = held.get()
         else:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="gridloom-")
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -35,3 +39,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that :func:`keep` returned and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.startswith("file:") or "://" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

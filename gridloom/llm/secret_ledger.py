@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import scratch
+from gridloom.llm import scratch, textbytes
 
 RULE_VERSION = "1.1"
 BASE = ("assign", "access", "hex")
@@ -78,7 +78,7 @@ def update_ledger(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
     if exists:
         seen = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version)
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
-    scanned = blobs.mapInArrow(_scan, f"blob binary, spans {_SPANS}")
+    scanned = blobs.mapInArrow(textbytes.lean(_scan), f"blob binary, spans {_SPANS}")
     scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
     return spark.read.schema(schema).parquet(ledger)
 

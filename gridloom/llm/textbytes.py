@@ -2,18 +2,38 @@
 
 A batch is cut into blocks of rows with about ``BLOCK`` bytes, so temporary
 arrays stay small; one longer text is a block of its own and is never cut.
+Nothing that a long text needs is held after it, and :func:`lean` gives memory
+back when a task ends: a worker lives through many stages.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def lean(run):
+    """``run`` over Arrow batches, after which the allocators return what they no longer use."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64)."""
     x = x + np.uint64(_GOLD)
@@ -41,17 +61,21 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 
 _STEP = 0xC2B2AE3D27D4EB4F
 _BACK = pow(_STEP, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        for k, base in enumerate((_STEP, _BACK)):
-            run = np.full(size, np.uint64(base), dtype=np.uint64)
-            run[0] = np.uint64(1)
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0], _powers[1]
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse; only tables for a block are kept."""
+    if n <= BLOCK + 1 and _powers:
+        return _powers
+    made = []
+    for base in (_STEP, _BACK):
+        run = np.full(max(n, BLOCK + 1), np.uint64(base), dtype=np.uint64)
+        run[0] = np.uint64(1)
+        made.append(np.multiply.accumulate(run))
+    if n <= BLOCK + 1:
+        _powers[:] = made
+    return made
 
 
 def blocks(column: pa.Array, limit: int = BLOCK):

@@ -19,9 +19,12 @@ Line rows carry two 64-bit hashes and no text. Hot fingerprints and contents are
 met by grouped minima (combined before the shuffle) and by joins on the key
 alone, which may be split. A document's own lines come from one row.
 
-Defined cases: null text has no lines and stays null; a document that loses all
-its lines gets the text '' and ``emptied``; rows that repeat doc_id and text are
-one document; null doc_ids sort first; columns beside doc_id and text are kept.
+Defined cases: null text has no lines and stays null; an empty text has one blank
+line and stays; a document that loses all its lines gets the text '' and
+``emptied``; of equal runs the one at the smallest (doc_id, position) stays; rows
+that repeat doc_id and text are one document; null doc_ids sort first; a text of any
+length is taken whole; an empty table gives no rows; columns beside doc_id and text
+are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,23 +88,29 @@ def line_marks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return own.alias("l").join(spots.alias("s"), here & (F.col("l.n") == F.col("s.n")) & (F.col("l.w") > 0), "left").select("l._doc", "l._th", "pos", "w", F.coalesce("gone", F.lit(False)).alias("gone"))
 
 
+def _own_names(docs: DataFrame) -> list[str]:
+    """Names by place for all columns but doc_id and text, so that none can clash with a helper's."""
+    return [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+
+
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its text rewritten, plus ``n_lines, n_removed, words_removed, emptied``."""
-    marks = line_marks(docs, min_words).groupBy(*_DOC).agg(
+    names, inner = docs.columns, docs.toDF(*_own_names(docs))
+    marks = line_marks(inner.select("doc_id", "text"), min_words).groupBy(*_DOC).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "gone"))), lambda x: x["gone"]).alias("_gone"),
         F.sum(F.when(F.col("gone"), 1).otherwise(0)).alias("_removed"),
         F.sum(F.when(F.col("gone"), F.col("w")).otherwise(0)).alias("_words"),
     )
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
+    joined = inner.withColumn("_key", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
     rest = F.transform(F.filter(F.arrays_zip(_split_lines().alias("l"), F.col("_gone").alias("g")), lambda x: ~x["g"]), lambda x: x["l"])
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    columns = [text.alias(c) if c == "text" else F.col(c) for c in inner.columns]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split_lines())).cast("long")
     with_words = F.length(F.translate(text, " \t\n\x0b\f\r", "")) > 0
     return joined.select(
         *columns, n_lines.alias("n_lines"), F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_words", F.lit(0)).cast("long").alias("words_removed"), (F.col("_gone").isNotNull() & ~with_words).alias("emptied"),
-    )
+    ).toDF(*names, "n_lines", "n_removed", "words_removed", "emptied")
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,6 +118,10 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
     ``n_chars``, where the table has it, follows the new text.
     """
-    done = deduplicate_lines(docs, min_words).where("not emptied")
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return done.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    inner = docs.toDF(*_own_names(docs))
+    done = deduplicate_lines(inner, min_words).where("not emptied")
+    columns = [F.col(c) for c in inner.columns]
+    if "n_chars" in docs.columns:
+        at = docs.columns.index("n_chars")
+        columns[at] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[at].dataType)).otherwise(columns[at])
+    return done.select(*columns).toDF(*docs.columns)

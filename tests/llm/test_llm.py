@@ -18,6 +18,8 @@ from gridloom.llm import bpe, chat, chosen_path, components, decontam, gam, hmm,
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, rid long"
+# names that the operators use within or give to their own columns
+CLASH = "items long, spans long, n_words long, emptied boolean, n_removed long, _doc long, _th long, _h long, _key long, _gone long, h long, seq long, said long"
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -49,8 +51,9 @@ def texts():
 def odd(spark):
     """Nulls in every column, repeated rows, an empty and a very long text, clashing column names."""
     long = "the word and " * 20_000
-    rows = [(1, None, None, None, None, None, None, None), (None, "null id text the of", "en", None, 3, 1, 1, 1), (2, "", "", "", 0, 1, 1, 1), (3, long, "en", "s", len(long), 1, 1, 1), (3, long, "en", "s", len(long), 1, 1, 1), (4, "é ü ß \U0001f600 日本", "xx", "s", 9, 1, 1, 1), (-5, "the cat and the dog\nthe cat", "fr", "t", 20, 1, 1, 1)]
-    return spark.createDataFrame(rows, SCHEMA)
+    rows = [(1, None, None, None, None), (None, "null id text the of", "en", None, 3), (2, "", "", "", 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (4, "é ü ß \U0001f600 日本", "xx", "s", 9), (-5, "the cat and the dog\nthe cat", "fr", "t", 20)]
+    rows = [(*r, 1, 2, 3, *[None] * (CLASH.count(",") + 1)) for r in rows]
+    return spark.createDataFrame(rows, f"{SCHEMA}, {CLASH}")
 
 
 # --- 5 ------------------------------------------------------------------------------------------------
@@ -95,9 +98,10 @@ def test_large_leaves_are_exact(spark):
     test_near_duplicates(spark, texts, 2, 4)
 
 
-def test_documents_of_the_first_and_last_cell(spark):
-    cell = F.pmod(F.xxhash64("id"), F.lit(chosen_path.FILTER_BITS))
-    last = spark.range(60_000_000).where(cell == chosen_path.FILTER_BITS - 1).first().id
+def test_documents_of_the_first_and_last_cell(spark, monkeypatch):
+    size = chosen_path.LEAST_BITS
+    cell = F.pmod(F.xxhash64("id"), F.lit(size))
+    last = spark.range(20_000_000).where(cell == size - 1).first().id
     ids = [25317696, last, 7, 8]
     assert spark.createDataFrame([(25317696,)], "id long").select(cell).first()[0] == 0
     words = [f"w{k}" for k in range(100)]
@@ -106,6 +110,9 @@ def test_documents_of_the_first_and_last_cell(spark):
     assert sorted(r.id for r in sets) == sorted(ids[:3])
     got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(docs, num=4, den=5, width=4).collect()}
     assert got == {25317696: 7, last: 7, 7: 7, 8: 8}
+    monkeypatch.setattr(chosen_path, "LEAST_BITS", 8)
+    monkeypatch.setattr(chosen_path, "MOST_BITS", 8)  # too full a map: the ids are joined to the texts first
+    assert sorted(r.id for r in chosen_path._sets_of(docs.select("doc_id").where("doc_id <> 8"), docs, 4).collect()) == sorted(ids[:3])
 
 
 def test_near_duplicates_odd(spark, odd):
@@ -254,9 +261,15 @@ def test_bpe_matches_the_library(spark, odd):
 def test_bpe_bounded_caches(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 40)
     monkeypatch.setattr(bpe, "MAX_FITS", 30)
+    monkeypatch.setattr(bpe, "MAX_HELD", 1500)
     small, big = bpe.Codec(bpe.read_ranks(RANKS), PATTERN), bpe.codec(RANKS, PATTERN)
     texts = ["reproducible tokenisation overlapping zzxyq", "unbelievably übermäßig naïveté"]
-    assert small.encode(texts) == big.encode(texts)
+    for _ in range(4):
+        assert small.encode(texts) == big.encode(texts)
+        assert [small.encode([t])[0] for t in texts] == big.encode(texts)
+    assert len(small.known) + len(small.old) < 12
+    small.forget()
+    assert not small.known and small.encode(texts) == big.encode(texts)
 
 
 def test_stream_decoder():
