@@ -9,8 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package to the files of ``spark``'s context, once, so workers can import it wherever they run."""
+    """Add the package to the files of ``spark``'s context, once, so workers can import it wherever they run.
+
+    Workers also get Arrow batches of 4 MB at most, not 64: a batch is held in the
+    JVM and in Python at once, by every core.
+    """
     context = spark.sparkContext
     if getattr(context, "_gridloom_shipped", False):
         return
@@ -21,3 +28,5 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, Path(top.name) / source.relative_to(top))
     context.addPyFile(str(path))
     context._gridloom_shipped = True
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's default; a session's own choice stays
+        spark.conf.set(_BATCH, "4m")
