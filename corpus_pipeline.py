@@ -2,6 +2,12 @@
 
 Every stage works on all rows that its predecessor kept, and all but the last
 return the columns of ``documents``.
+
+Defined cases, beside those of the operators: rows with a null doc_id are judged like
+any other and pass near dedup; null, empty and letterless texts go at the first
+stage; rows that repeat both doc_id and text share their fate; texts of any length
+are taken whole; an empty table passes as an empty one; further columns are carried
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +22,14 @@ from gridloom.shipping import ship
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go."""
     ship(spark)
+    names = [c if c in ("doc_id", "text", "lang", "source") else f"c{i}" for i, c in enumerate(docs.columns)]
+    inner = docs.toDF(*names)
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    rows = docs.select(key.alias("id"), "text", "lang", F.col("source").alias("host"), langid.suffix_of(F.col("source")).alias("suffix"))
+    rows = inner.select(key.alias("id"), "text", "lang", F.col("source").alias("host"), langid.suffix_of(F.col("source")).alias("suffix"))
     bad = scratch.keep(langid.identify(rows).where("not accepted").select("id").distinct(), "rejected")
     bad = bad.select(F.col("id.doc_id").alias("_doc"), F.col("id.h").alias("_h"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    kept = inner.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return kept.toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
