@@ -110,3 +110,11 @@ def nearest(x: Column, table: list[float]) -> Column:
     """The index of the nearest table value; the first of equally near ones."""
     best = F.array_min(F.array(*[F.struct(F.abs(x - v).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(table)]))
     return best["i"]
+
+
+def half_rounded(x: Column) -> Column:
+    """The nearest half-precision number (ties to even), as a double; beyond 65504 infinite."""
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-30)))), F.lit(-14)) - 10)
+    near = F.rint(size / step) * step
+    return F.signum(x) * F.when(near > 65504.0, F.lit(float("inf"))).otherwise(near)

@@ -81,18 +81,24 @@ def bucket_of(message: Column, rules: dict[str, str], other: str = "other") -> C
     return out.otherwise(other)
 
 
-def verdict(messages: Column, context: str, broken: str) -> Column:
-    """clean without messages; context if every message is of the first kind and none of the second; else broken."""
-    n = F.size(messages)
-    all_context = F.forall(messages, lambda m: m.rlike(context)) & ~F.exists(messages, lambda m: m.rlike(broken))
-    return F.when(messages.isNull() | (n == 0), "clean").when(all_context, "context").otherwise("broken")
+def verdict(messages: Column, clean: Column, context: str, broken: str) -> Column:
+    """clean if it is flagged so; context if there are messages, all of the first kind and none of the second; else broken."""
+    some = F.coalesce(F.size(messages) > 0, F.lit(False))
+    only_context = F.forall(messages, lambda m: m.rlike(context)) & ~F.exists(messages, lambda m: m.rlike(broken))
+    return F.when(clean, "clean").when(some & only_context, "context").otherwise("broken")
 
 
-def masked_labels(prompt: Column, body: Column, limit: int, ignore: int = -100) -> Column:
-    """(ids, labels) of prompt and body within ``limit``; null where the prompt leaves fewer than 9 places."""
+def masked_labels(prompt: Column, body: Column, limit: int, ignore: int = -100, pad: int | None = None) -> Column:
+    """(ids, labels, used) of prompt and body within ``limit``; null where the prompt leaves fewer than 9 places.
+
+    With ``pad`` both are filled up to ``limit``, the labels with ``ignore``.
+    """
     rest = F.slice(body, 1, F.greatest(F.lit(limit) - F.size(prompt), F.lit(0)))
-    both = F.struct(F.concat(prompt, rest).alias("ids"), F.concat(F.array_repeat(F.lit(ignore), F.size(prompt)), rest).alias("labels"))
-    return F.when(F.size(prompt) < limit - 8, both)
+    used = F.size(prompt) + F.size(rest)
+    more = F.greatest(F.lit(limit) - used, F.lit(0)) if pad is not None else F.lit(0)
+    ids = F.concat(prompt, rest, F.array_repeat(F.lit(pad or 0), more))
+    labels = F.concat(F.array_repeat(F.lit(ignore), F.size(prompt)), rest, F.array_repeat(F.lit(ignore), more))
+    return F.when(F.size(prompt) < limit - 8, F.struct(ids.alias("ids"), labels.alias("labels"), used.alias("used")))
 
 
 def tool_call(reply: Column) -> Column:

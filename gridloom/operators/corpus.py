@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import stripped
+
 # Licence names of which one must be part of a file's list.
 LICENSES = ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "0BSD", "ISC", "BSL-1.0", "Unlicense", "CC0-1.0", "zlib", "MIT-0", "BSD-Clause", "mit", "apache-2.0", "bsd-3-clause", "bsd-2-clause")
 # What a missing column counts as.
@@ -59,78 +58,47 @@ def pack(rows: DataFrame, group: str, order: str, size, most: int) -> DataFrame:
     return rows.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < most).drop("_b")
 
 
-_NAME, _VERSION = re.compile(r"^#?\s*(?:Project )?[Nn]ame:\s*(.+)$"), re.compile(r"^#?\s*(?:Godot )?[Vv]ersion:\s*(.+)$")
-_FILE, _FENCE = re.compile(r"^####? (?:File: )?`?([^`]+?)`?\s*$"), re.compile(r"^```(\w*)\s*$")
-
-
-def read_dump(text: str) -> tuple[str, str, dict[str, tuple[str, str]]]:
-    """Name, version and files (path -> language, content) of a project dump; '?' for what is missing."""
-    found = {"name": "", "version": ""}
-    files: dict[str, tuple[str, str]] = {}
-    rows = iter(text.split("\n"))
-    for line in rows:
-        if line.startswith("### Files:"):
-            break
-        for key, pattern in (("name", _NAME), ("version", _VERSION)):
-            if got := pattern.match(line):
-                found[key] = got[1].strip()
-    path, lang, body = None, None, []
-    for line in rows:
-        fence = _FENCE.match(line)
-        if lang is not None:
-            if fence:
-                files[path] = (lang, "\n".join(body))
-                path = lang = None
-            else:
-                body.append(line)
-        elif path is not None and fence:
-            lang, body = fence[1], []
-        elif path is not None and not line.strip():
-            continue
-        else:
-            got = _FILE.match(line)
-            path = got[1].strip() if got else None
-    if lang is not None:
-        files[path] = (lang, "\n".join(body))
-    return found["name"] or "?", found["version"] or "?", files
+# The lines of a project dump.
+_NAME, _VERSION = r"(?md)^### Name:[^\S\n]*(.*)$", r"(?md)^### Godot version:[^\S\n]*(.*)$"
+_BODY = r"(?md)^### Files:"
+_FILE = r"(?md)^File name:[^\S\n]*([^\n]*)\n(?:[^\S\n]*\n)*+```(\w*)[^\S\n]*(?:\n|\z)((?s:.*?))(^```\w*[^\S\n]*$|\z)"
 
 
 def parse_dumps(dumps: DataFrame) -> DataFrame:
-    """(name, version, path, lang, content) of every file of ``dumps(value)``."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for text in frame["value"]:
-                name, version, files = read_dump(text or "")
-                out += [(name, version, path, lang, content) for path, (lang, content) in files.items()]
-            yield pd.DataFrame(out, columns=["name", "version", "path", "lang", "content"])
-
-    return dumps.select("value").mapInPandas(run, "name string, version string, path string, lang string, content string")
-
-
-def apply_edits(sections: dict[str, str], edits: list[dict]) -> tuple[dict[str, str], list[str]]:
-    """Sections after the edits, and one message for each edit that could not be made."""
-    out, errors = dict(sections), []
-    for edit in edits:
-        op, name, text, find = (edit.get(k) for k in ("op", "section", "text", "find"))
-        has, old = isinstance(name, str) and name != "", out.get(name, "") if isinstance(name, str) else ""
-        if op not in ("set", "append", "file_code", "replace", "delete", "delete_section"):
-            errors.append(f"unknown op {op!r}")
-        elif not has:
-            errors.append("no section named")
-        elif op == "delete_section":
-            out[name] = ""
-        elif op in ("set", "append", "file_code") and not isinstance(text, str):
-            errors.append(f"{op} without a text")
-        elif op == "set":
-            out[name] = text
-        elif op in ("append", "file_code"):
-            out[name] = f"{old}\n\n{text}".strip()
-        elif not isinstance(find, str) or op == "delete" and not find:
-            errors.append(f"{op} without what to find")
-        elif name not in out or find not in old:
-            errors.append(f"{find[:48]!r} is not in section {name!r}")
-        else:
-            out[name] = old.replace(find, text or "" if op == "replace" else "", 1)
-    return out, errors
+    """(name, version, path, lang, content) of every file of the project dumps ``dumps(value)``.
+
+    A dump has header lines, then from ``### Files:`` on files: a line ``File name:``
+    and, after blank lines at most, a fenced block up to the next fence or the end of
+    the text. A name without a block is no file; a block may be empty; of blocks of one
+    name the last counts. A header that is missing or empty is '?', and of repeated ones
+    the last counts. All in the JVM: a pattern cuts a dump into its files.
+    """
+    cut = dumps.select("value", F.regexp_instr("value", F.lit(_BODY)).alias("_at"))
+    parts = cut.select(F.expr("if(_at > 0, left(value, _at - 1), value)").alias("head"), F.expr("if(_at > 0, substr(value, _at), '')").alias("body"))
+    last = lambda pattern: F.coalesce(F.nullif(stripped(F.try_element_at(F.regexp_extract_all("head", F.lit(pattern), F.lit(1)), F.lit(-1))), F.lit("")), F.lit("?"))
+    piece = lambda x, group: F.regexp_extract(x, _FILE, group)
+    file = lambda x: F.struct(stripped(piece(x, 1)).alias("path"), piece(x, 2).alias("lang"), F.when(piece(x, 4) == "", piece(x, 3)).otherwise(F.regexp_replace(piece(x, 3), r"\n\z", "")).alias("content"))
+    found = parts.select(last(_NAME).alias("name"), last(_VERSION).alias("version"), F.transform(F.regexp_extract_all("body", F.lit(_FILE), F.lit(0)), file).alias("files"))
+    later = F.filter("files", lambda x, i: ~F.exists(F.slice("files", i + 2, F.size("files")), lambda y: y["path"] == x["path"]))
+    return found.select("name", "version", F.explode(later).alias("f")).select("name", "version", "f.*")
+
+
+def resolved_classes(files: DataFrame, defines: str, uses: str) -> DataFrame:
+    """(project, resolved): of ``files(project, code)`` the projects in which a class that one file uses is defined by a file of the same project.
+
+    Names are met as distinct (project, name) rows, so a large project is many keys.
+    """
+    names = lambda pattern: files.select("project", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(pattern), F.lit(1)))).alias("name")).distinct()
+    both = names(uses).join(names(defines), ["project", "name"], "left_semi")
+    return both.groupBy("project").agg(F.array_sort(F.collect_list("name")).alias("resolved"))
+
+
+def repeated_calls(calls: DataFrame, group: str, order: str, name: str, arguments: str) -> DataFrame:
+    """``calls`` with ``again``: whether an earlier call of the group has the same name and, as objects, the same arguments.
+
+    Arguments are JSON; their entries are sorted by key, so order and blanks don't count.
+    """
+    entries = F.array_sort(F.map_entries(F.from_json(arguments, "map<string, string>")))
+    signature = F.coalesce(F.to_json(entries), F.col(arguments))
+    w = Window.partitionBy(group, name, "_signature").orderBy(order)
+    return calls.withColumn("_signature", signature).withColumn("again", F.row_number().over(w) > 1).drop("_signature")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.grid import half_rounded
 from gridloom.operators import layout
 
 
@@ -105,24 +106,25 @@ def gram_matrix(wide: DataFrame) -> np.ndarray:
     return out.reshape(round(len(out) ** 0.5), -1)
 
 
-def with_feedback(wide: DataFrame, k: int, block: int = 32) -> DataFrame:
-    """(tensor, row, q): blocks along a row, each taking up the mean error of the block before it."""
+def with_feedback(wide: DataFrame, k: int, group: int = 64, feedback: float = 1.0) -> DataFrame:
+    """(tensor, row, q): each group of a row on the k-level grid of its half-precision largest weight.
 
-    def one(v):
-        v, carry, out = np.asarray(v, dtype=np.float64), 0.0, []
-        for a in range(0, len(v), block):
-            x = v[a : a + block] + carry
-            m = np.abs(x).max()
-            q = np.clip(np.rint((x + m) / (2 * m / (k - 1))), 0, k - 1) * (2 * m / (k - 1)) - m if m > 0 else x * 0
-            carry = float((x - q).mean())
-            out.append(q)
-        return np.concatenate(out) if out else v
-
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"tensor": f["tensor"], "row": f["row"], "q": f["v"].map(one)})
-
-    return wide.select("tensor", "row", "v").mapInPandas(run, "tensor int, row long, q array<double>")
+    A cell's target is its weight plus ``feedback`` times what the same place of the
+    group before lost (weight less its value on the grid). A fold inside the row.
+    """
+    h = (k - 1) // 2
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("v") / group).cast("int") - 1, F.lit(0)))
+    empty = F.struct(F.expr("cast(array() as array<double>)").alias("q"), F.array_repeat(F.lit(0.0), group).alias("carry"))
+
+    def step(s, i):
+        own = F.slice("v", i * group + 1, group)
+        m = half_rounded(F.array_max(F.transform(own, lambda x: F.abs(x))))
+        m = F.when(m == 0, 1.0).otherwise(m)
+        target = F.zip_with(own, F.slice(s["carry"], 1, F.size(own)), lambda x, c: x + feedback * c)
+        snapped = F.transform(target, lambda t: m * (F.least(F.greatest(F.rint(t / m * h + h), F.lit(0.0)), F.lit(k - 1.0)) - h) / h)
+        return F.struct(F.concat(s["q"], snapped).alias("q"), F.zip_with(own, snapped, lambda x, y: x - y).alias("carry"))
+
+    return wide.select("tensor", "row", F.aggregate(starts, empty, step)["q"].alias("q"))
 
 
 def leaky_fold(events: DataFrame, key: str, order: str, value: str, leak: float = 0.9, limit: float = 100.0) -> DataFrame:

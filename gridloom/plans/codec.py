@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import numtheory, packing, rans
 from gridloom.operators import channel, codec, corpus, cost, fits, layout
-from gridloom.plans.quantization import D, M, _w, R6
+from gridloom.plans.quantization import C, D, M, _w, R6
 from gridloom.plans.registry import query, r6, table
 from gridloom.shipping import ship
 
@@ -47,24 +47,27 @@ def nine_round_trip(spark, sf_dir):
     return layout.digits(_w(spark, sf_dir), 9).select("tensor", "row", "d").mapInPandas(run, "tensor int, row long, emitted int, bytes int, same boolean")
 
 
-@query()
+@query("SELECT vec_id // 4 AS block, count(*)::INT AS rows, 200 AS bytes, true AS same FROM embeddings GROUP BY 1")
 def blocks_round_trip(spark, sf_dir):
-    """Four rows make a block of 256 codes; packed, unpacked and compared."""
+    """Four rows make a block of 256 codes (the last may be filled up with the middle code); packed, unpacked and compared."""
     ship(spark)
     d = layout.digits(_w(spark, sf_dir), 63).withColumn("b", F.floor(F.col("row") / 4))
-    g = d.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("row", "m", "d"))).alias("rs")).where("size(rs) = 4")
+    g = d.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("row", "m", "d"))).alias("rs"))
 
     def run(frames):
         for f in frames:
             out = []
             for b, rs in zip(f["b"], f["rs"]):
-                digits = np.concatenate([r["d"] for r in rs]).reshape(1, 256)
-                blob = packing.pack_blocks(digits, 63, np.array([[r["m"] for r in rs]]))
+                digits = np.full((4, 64), 31)
+                scales = np.zeros(4)
+                for k, r in enumerate(rs):
+                    digits[k], scales[k] = r["d"], r["m"]
+                blob = packing.pack_blocks(digits.reshape(1, 256), 63, scales.reshape(1, 4))
                 _, codes, _ = packing.unpack_blocks(blob, 1, 256, "b6")
-                out.append((b, len(blob), bool((codes + 31 == digits).all())))
-            yield pd.DataFrame(out, columns=["block", "bytes", "same"])
+                out.append((b, len(rs), len(blob), bool((codes + 31 == digits.reshape(1, 256)).all())))
+            yield pd.DataFrame(out, columns=["block", "rows", "bytes", "same"])
 
-    return g.mapInPandas(run, "block long, bytes int, same boolean")
+    return g.mapInPandas(run, "block long, rows int, bytes int, same boolean")
 
 
 @query()
@@ -78,12 +81,26 @@ def compensated_rows(spark, sf_dir):
     return fits.compensated(w, fits.gram_matrix(w), 9).select("tensor", "row", "d")
 
 
-@query()
+_FEED_M = "pow(2.0::DOUBLE, greatest(floor(log2(greatest(m, 1e-30))), -14) - 10)"
+_FEED_Q = "m * (least(greatest(round_even((w + 0.5::DOUBLE * carry) / m * 7 + 7, 0), 0), 14) - 7) / 7"
+
+
+@query(f"""WITH RECURSIVE {C}, x AS (SELECT row // 4 AS r, row % 4 AS b, col, w FROM c), g0 AS (SELECT r, b, max(abs(w)) AS m FROM x GROUP BY 1, 2), g AS (SELECT r, b, round_even(m / {_FEED_M}, 0) * {_FEED_M} AS m FROM g0),
+  y AS (SELECT x.*, CASE WHEN m = 0 THEN 1 ELSE m END AS m FROM x JOIN g USING (r, b)),
+  f(r, b, col, q, carry) AS (SELECT r, b, col, {_FEED_Q}, w - {_FEED_Q} FROM (SELECT *, 0.0::DOUBLE AS carry FROM y WHERE b = 0) UNION ALL SELECT r, b, col, {_FEED_Q}, w - {_FEED_Q} FROM (SELECT y.*, f.carry FROM f JOIN y ON y.r = f.r AND y.col = f.col AND y.b = f.b + 1))
+SELECT r AS row, count(*)::INT AS n, {R6.format('sum(q)')} AS total, {R6.format('sum(q * (64 * b + col))')} AS moment FROM f GROUP BY 1""")
 def fed_back_rows(spark, sf_dir):
-    return fits.with_feedback(_w(spark, sf_dir), 15).select("tensor", "row", F.size("q").alias("n"), r6(F.aggregate("q", F.lit(0.0), lambda a, x: a + x), "total"))
+    """Four vectors make a row of 256; each group of 64 takes up half of what the group before it lost."""
+    wide = _w(spark, sf_dir).groupBy(F.floor(F.col("row") / 4).alias("row")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("row").alias("r"), "v"))), lambda x: x["v"])).alias("v"))
+    q = fits.with_feedback(wide.withColumn("tensor", F.lit(0)), 15, feedback=0.5)
+    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+    moment = F.aggregate(F.transform("q", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return q.select("row", F.size("q").alias("n"), r6(total, "total"), r6(moment, "moment"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS i FROM events),
+  f(user_id, i, n, v) AS (SELECT DISTINCT user_id, 0::BIGINT, 0, 0.0::DOUBLE FROM e UNION ALL SELECT e.user_id, e.i, n + (v * 0.9::DOUBLE + value >= 100)::INT, CASE WHEN v * 0.9::DOUBLE + value >= 100 THEN 0 ELSE v * 0.9::DOUBLE + value END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, max_by(n, i) AS spikes, round(max_by(v, i), 6) + 0.0 AS charge FROM f GROUP BY 1""")
 def leaky_spikes(spark, sf_dir):
     return fits.leaky_fold(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "spikes", r6(F.col("charge"), "charge"))
 
@@ -95,10 +112,9 @@ def noisy_channel(spark, sf_dir):
     return channel.degrade(_w(spark, sf_dir), p).select("tensor", "row", "v")
 
 
-@query("SELECT l_suppkey % 100 + 2 AS q, any_value(l_suppkey % 100 + 2) > 0 AS ok, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey % 100 + 2 AS q, count(*) AS n FROM lineitem GROUP BY 1")
 def fraction_moduli(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100 + 2).alias("q")).agg(F.count("*").alias("n"))
-    return g.select("q", (F.col("q") > 0).alias("ok"), "n")
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100 + 2).alias("q")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -153,10 +169,12 @@ def level_allocation(spark, sf_dir):
     return spark.createDataFrame(sorted((int(t), int(k)) for t, k in levels.items()), "tensor int, k int")
 
 
-@query()
+@query("SELECT source AS name, '4.1' AS version, doc_id || '.txt' AS path, 'text' AS lang, length(text)::INT AS chars, md5(text) AS content FROM documents WHERE NOT regexp_matches(text, '(?m)^(```|File name:|### Files:)') UNION ALL SELECT source, '4.1', 'empty.gd', 'gdscript', 0, md5('') FROM documents WHERE NOT regexp_matches(text, '(?m)^(```|File name:|### Files:)')")
 def parsed_dumps(spark, sf_dir):
-    """Each document wrapped as a project dump of one file, and parsed again."""
-    ship(spark)
-    d = table(spark, sf_dir, "documents")
-    dump = F.concat(F.lit("Name: "), "source", F.lit("\nVersion: 4.1\n### Files:\n\n#### "), F.col("doc_id").cast("string"), F.lit(".txt\n\n```text\n"), "text", F.lit("\n```\n"))
-    return corpus.parse_dumps(d.select(dump.alias("value"))).select("name", "version", "path", "lang", F.length("content").alias("chars"))
+    """Each document wrapped as a project dump, and parsed again: a file, one without a block, an empty one, one that comes twice."""
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?md)^(```|File name:|### Files:)"))
+    dump = F.concat(
+        F.lit("### Name: old\n### Name:  "), "source", F.lit(" \n### Godot version: 4.1\n### Files:\n\nFile name: "), F.col("doc_id").cast("string"), F.lit(".txt\n```\nfirst\n```\nFile name: none.gd\nplain\nFile name: empty.gd\n\n  \n```gdscript\n```\nFile name: "),
+        F.col("doc_id").cast("string"), F.lit(".txt \n\n```text\n"), "text", F.lit("\n```\n"),
+    )
+    return corpus.parse_dumps(d.select(dump.alias("value"))).select("name", "version", "path", "lang", F.length("content").alias("chars"), F.md5(F.col("content").cast("binary")).alias("content"))
\ No newline at end of file

@@ -62,13 +62,14 @@ def named_license(spark, sf_dir):
 
 @query("WITH v AS (SELECT CASE WHEN regexp_extract(substr(source, 4), '^(\\d+)', 1) = '' THEN '?' ELSE regexp_extract(substr(source, 4), '^(\\d+)', 1) END AS v FROM documents) SELECT v AS major, count(*) AS n FROM v GROUP BY 1")
 def by_major(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy(T.major(F.substring("source", 4, 20)).alias("major")).agg(F.count("*").alias("n"))
+    return _docs(spark, sf_dir).groupBy(T.major(F.regexp_replace("source", "^src", "")).alias("major")).agg(F.count("*").alias("n"))
 
 
-@query("WITH g AS (SELECT source, lang, count(*) AS files, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chars DESC, lang) AS place FROM g) SELECT * FROM r WHERE place <= 3")
+@query("WITH g AS (SELECT source, lang, count(*) AS files, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chars DESC, lang) AS place FROM g) SELECT * FROM r WHERE place <= 5")
 def top_languages(spark, sf_dir):
+    """The five languages with most characters of each source."""
     g = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("chars"), "lang"))).where("place <= 3")
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("chars"), "lang"))).where("place <= 5")
 
 
 @query("WITH s AS (SELECT lang, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS t FROM documents) SELECT lang, t AS n, max(n) FILTER (i = least(t - 1, floor(t * 0.5))) AS p50, max(n) FILTER (i = least(t - 1, floor(t * 0.9))) AS p90, max(n) FILTER (i = least(t - 1, floor(t * 0.99))) AS p99 FROM s GROUP BY 1, 2")
@@ -96,24 +97,26 @@ def label_lookup(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def without_match(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 50 == 0), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _docs(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_documents, b.k IS NOT NULL AS in_labels, c.k IS NOT NULL AS in_conversations FROM (SELECT doc_id AS k FROM documents) a FULL JOIN (SELECT doc_id AS k FROM labels) b ON a.k = b.k LEFT JOIN (SELECT DISTINCT conv_id AS k FROM conversations) c ON c.k = coalesce(a.k, b.k)")
+@query("SELECT k, bool_or(t = 1) AS in_documents, bool_or(t = 2) AS in_labels, bool_or(t = 3) AS in_customer FROM (SELECT doc_id AS k, 1 AS t FROM documents UNION ALL SELECT doc_id, 2 FROM labels UNION ALL SELECT c_custkey, 3 FROM customer) GROUP BY 1")
 def three_way_presence(spark, sf_dir):
+    """Which of three tables hold each key: full joins, so keys of one table only stay."""
     a = _docs(spark, sf_dir).select(F.col("doc_id").alias("k"), F.lit(True).alias("a"))
     b = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.lit(True).alias("b"))
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k")).distinct().withColumn("c", F.lit(True))
-    return a.join(b, "k", "full").join(c, "k", "left").select("k", *[F.coalesce(x, F.lit(False)).alias(n) for x, n in (("a", "in_documents"), ("b", "in_labels"), ("c", "in_conversations"))])
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(True).alias("c"))
+    return a.join(b, "k", "full").join(c, "k", "full").select("k", *[F.coalesce(x, F.lit(False)).alias(n) for x, n in (("a", "in_documents"), ("b", "in_labels"), ("c", "in_customer"))])
 
 
-@query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON contains(lower(n.n_name), lower(substr(r.r_name, -1, 1)))")
+@query("WITH m AS (SELECT r.r_name, n.n_name, row_number() OVER (PARTITION BY r.r_name ORDER BY n.n_name) AS place FROM nation n JOIN region r ON contains(lower(n.n_name), lower(substr(r.r_name, -1, 1)))) SELECT * FROM m WHERE place <= 8")
 def fuzzy_names(spark, sf_dir):
-    """Case-blind substring matches of two tables of fixed size."""
+    """Case-blind substring matches of two tables of fixed size, the first eight of each (the limit is the report)."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), F.contains(F.lower("n_name"), F.lower(F.substring("r_name", -1, 1)))).select("n_name", "r_name")
+    m = n.join(F.broadcast(r), F.contains(F.lower("n_name"), F.lower(F.substring("r_name", -1, 1)))).select("r_name", "n_name")
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("r_name").orderBy("n_name"))).where("place <= 8")
 
 
 @query("SELECT DISTINCT p.p_brand, b.x FROM part p, (VALUES ('Brand#1'), ('Brand#2'), ('Brand#33 and more')) b(x) WHERE starts_with(p.p_brand, b.x) OR starts_with(b.x, p.p_brand)")
@@ -129,10 +132,10 @@ def mixture(spark, sf_dir):
     return d.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"))
 
 
-@query("SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')[1:6])::VARCHAR IS NOT NULL AS ok, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+')[1:6], ' ') AS firsts FROM documents")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+')[1:6], ' ') AS firsts FROM documents")
 def first_captures(spark, sf_dir):
     got = F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), 1, 6)
-    return _docs(spark, sf_dir).select("doc_id", F.lit(True).alias("ok"), F.array_join(got, " ").alias("firsts"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(got, " ").alias("firsts"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed, substr(md5(source || '/' || doc_id), 1, 12) AS id, regexp_replace(source || ' #' || doc_id, '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM documents")
@@ -145,10 +148,12 @@ def message_buckets(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.bucket_of(F.col("text"), {"license": "licen[cs]ed?", "secret": "password|secret|token", "table": r"\|"}).alias("bucket"))
 
 
-@query("WITH l AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS ms FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN ms IS NULL OR len(ms) = 0 THEN 'clean' WHEN len(list_filter(ms, lambda x: regexp_matches(x, '[a-z]'))) = len(ms) AND len(list_filter(ms, lambda x: regexp_matches(x, 'the|der'))) = 0 THEN 'context' ELSE 'broken' END AS verdict FROM l")
+@query("WITH l AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS ms, bool_or(role = 'system') AS clean FROM conversations WHERE turn > 0 OR role <> 'user' GROUP BY 1) SELECT conv_id, CASE WHEN clean THEN 'clean' WHEN ms IS NULL OR len(ms) = 0 THEN 'broken' WHEN len(list_filter(ms, lambda x: regexp_matches(x, '[a-z]'))) = len(ms) AND len(list_filter(ms, lambda x: regexp_matches(x, 'the|der'))) = 0 THEN 'context' ELSE 'broken' END AS verdict FROM l")
 def message_verdicts(spark, sf_dir):
-    ms = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).alias("ms"))
-    return ms.select("conv_id", T.verdict(F.col("ms"), "[a-z]", "the|der").alias("verdict"))
+    """A system turn stands for a file that loads; without it, no message is as broken as a wrong one."""
+    turns = table(spark, sf_dir, "conversations").where("turn > 0 or role <> 'user'")
+    ms = turns.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).alias("ms"), F.bool_or(F.col("role") == "system").alias("clean"))
+    return ms.select("conv_id", T.verdict(F.col("ms"), F.col("clean"), "[a-z]", "the|der").alias("verdict"))
 
 
 @query("SELECT conv_id, turn, role, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chars FROM conversations")
@@ -207,20 +212,14 @@ def repeated_calls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) > 1).alias("again"))
 
 
-@query("SELECT a.source, count(DISTINCT a.lang) AS langs FROM documents a WHERE a.source IN (SELECT source FROM documents GROUP BY 1 HAVING count(DISTINCT lang) >= 2) GROUP BY 1")
-def own_dependencies(spark, sf_dir):
-    """Sources that hold two languages or more: the set of each source intersected with itself."""
-    g = _docs(spark, sf_dir).groupBy("source").agg(F.collect_set("lang").alias("ls"))
-    return g.where(F.size(F.array_intersect("ls", F.array_distinct("ls"))) >= 2).select("source", F.size("ls").cast("long").alias("langs"))
-
-
-@query("WITH p AS (SELECT conv_id, list_transform(range(1, least(length(text), 20) + 1), lambda i: unicode(text[i])) AS prompt, list_transform(range(21, least(length(text), 60) + 1), lambda i: unicode(text[i])) AS body FROM conversations WHERE turn = 0) SELECT conv_id, (len(prompt) + least(len(body), 48 - len(prompt)))::INT AS n, list_sum(body[1:48 - len(prompt)])::BIGINT AS loss FROM p WHERE len(prompt) < 40 AND len(body) > 0")
+@query("WITH t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (turn > 0) AS body, max(text) FILTER (turn = 0) AS prompt FROM conversations GROUP BY 1), p AS (SELECT conv_id, list_transform(range(1, length(prompt) + 1), lambda i: unicode(prompt[i])) AS prompt, list_transform(range(1, length(body) + 1), lambda i: unicode(body[i])) AS body FROM t WHERE prompt IS NOT NULL AND body IS NOT NULL) SELECT conv_id, 512 AS n, (len(prompt) + least(len(body), 512 - len(prompt)))::INT AS used, coalesce(list_sum(body[1:512 - len(prompt)]), 0)::BIGINT AS loss FROM p WHERE len(prompt) < 504")
 def masked_prompts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text")
-    chars = F.filter(F.split("text", ""), lambda x: x != "")
-    codes = F.transform(chars, lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int"))
-    c = c.withColumn("ids", codes)
-    got = T.masked_labels(F.slice("ids", 1, 20), F.slice("ids", 21, 40), 48)
-    c = c.withColumn("x", got).where("x is not null and size(ids) > 20")
+    """First turns as prompts of their conversations, code points as tokens: whole texts, a window of 512, padded to it."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("prompt"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", "text")))), lambda x: x["text"]), "\n").alias("body"), F.max("turn").alias("last"),
+    ).where("prompt is not null and last > 0")
+    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int"))
+    c = t.select("conv_id", T.masked_labels(codes("prompt"), codes("body"), 512, pad=0).alias("x")).where("x is not null")
     loss = F.aggregate(F.filter("x.labels", lambda y: y != -100), F.lit(0).cast("long"), lambda a, y: a + y)
-    return c.select("conv_id", F.size("x.ids").alias("n"), loss.alias("loss"))
+    return c.select("conv_id", F.size("x.ids").alias("n"), F.col("x.used"), loss.alias("loss"))
\ No newline at end of file

@@ -119,12 +119,30 @@ def test_fits():
     assert low < high and few < many
 
 
-def test_dump_and_edits():
-    text = "Name: P\nVersion: 4.2\n### Files:\n\n#### a.gd\n\n```gdscript\nx\n\ny\n```\n#### b.txt\n#### c.gd\n```\nz\n```\n"
-    assert corpus.read_dump(text) == ("P", "4.2", {"a.gd": ("gdscript", "x\n\ny"), "c.gd": ("", "z")})
-    assert corpus.read_dump("") == ("?", "?", {})
-    out, errors = corpus.apply_edits({"a": "one two"}, [{"op": "replace", "section": "a", "find": "two", "text": "2"}, {"op": "append", "section": "b", "text": "x"}, {"op": "delete", "section": "a", "find": "zz"}, {"op": "what"}])
-    assert out == {"a": "one 2", "b": "x"} and len(errors) == 2
+def test_dumps(spark):
+    whole = "### Name: P \n### Godot version: 4.2\n### Files:\nFile name: a.gd\n\n```gdscript\nx\n\ny\n```\nFile name: b.txt\nno block\nFile name: c.gd\n```\nz\n```\nFile name: e.gd\n```gd\n```\nFile name: a.gd\n```gdscript\nlast\n```\nFile name: open.gd\n```\nrest\n"
+    cases = [whole, "", "### Name: only a head", "### Name:\n### Files:\nFile name: x\n```\n\n\n```", None]
+    rows = spark.createDataFrame([(t,) for t in cases], "value string")
+    got = sorted(tuple(r) for r in corpus.parse_dumps(rows).collect())
+    assert got == sorted([("P", "4.2", "a.gd", "gdscript", "last"), ("P", "4.2", "c.gd", "", "z"), ("P", "4.2", "e.gd", "gd", ""), ("P", "4.2", "open.gd", "", "rest\n"), ("?", "?", "x", "", "\n")])
+    long = "### Files:\nFile name: l.gd\n```gd\n" + "line of code\n" * 50_000 + "```\n"
+    assert corpus.parse_dumps(spark.createDataFrame([(long,)], "value string")).first().content == ("line of code\n" * 50_000)[:-1]
+
+
+def test_feedback_carries_vectors(spark):
+    rng = np.random.default_rng(3)
+    w = rng.standard_normal((5, 256))
+    w[0, :64] = 0
+    rows = spark.createDataFrame([(0, i, [float(x) for x in r]) for i, r in enumerate(w)], "tensor int, row long, v array<double>")
+    got = {r.row: np.array(r.q) for r in fits.with_feedback(rows, 9, feedback=0.7).collect()}
+    for i, r in enumerate(w):
+        carry = np.zeros(64)
+        for b in range(4):
+            own = r[64 * b : 64 * b + 64]
+            m = float(np.float16(np.abs(own).max())) or 1.0
+            q = m * (np.clip(np.rint((own + 0.7 * carry) / m * 4 + 4), 0, 8) - 4) / 4
+            assert np.allclose(got[i][64 * b : 64 * b + 64], q)
+            carry = own - q
 
 
 def test_file_sources(spark, tmp_path):
