@@ -1,12 +1,13 @@
-"""Deterministic and seeded degradation of stored weights, in a fixed order of effects."""
+"""Deterministic and seeded degradation of stored weights and of what reads them, in a fixed order of effects.
+
+Random numbers come from hashes of (seed, subject, tensor, row, column, effect), so they depend neither
+on partitions nor on an order, stay in the JVM, and are shared by all subjects where none is named.
+"""
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +16,48 @@ from gridloom.operators import layout
 
 @dataclass(frozen=True)
 class Channel:
-    """Relative noise of writing and reading, share of stuck cells, write levels, dead zone, loss along a row."""
+    """Noise of writing and reading and drift (relative), share of stuck cells, write levels, dead zone, loss along a row.
+
+    ``subject`` gives each subject noise of its own; '' pairs them.
+    """
 
     write_noise: float = 0.0
     read_noise: float = 0.0
+    drift: float = 0.0
     stuck: float = 0.0
     levels: int = 0
     dead_zone: float = 0.0
     ramp: float = 0.0
     seed: int = 0
+    subject: str = ""
+
+
+def uniform(key: Column, part: int = 0) -> Column:
+    """A number between 0 and 1 from the key's MD5: its first or second 32 bits."""
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 8 * part + 1, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
+
+
+def normal(key: Column) -> Column:
+    """A standard normal number from the key's MD5 (Box and Muller's way)."""
+    return F.sqrt(-2.0 * F.log(uniform(key))) * F.cos(F.lit(6.283185307179586) * uniform(key, 1))
+
+
+def _key(p: Channel, effect: str, *parts) -> Column:
+    return F.concat_ws(":", F.lit(str(p.seed)), F.lit(p.subject), *[x.cast("string") for x in parts], F.lit(effect))
+
+
+def _noisy(v: str, m: Column, p: Channel) -> Column:
+    def one(x: Column, i: Column) -> Column:
+        key = lambda effect: _key(p, effect, F.col("tensor"), F.col("row"), i)
+        if p.write_noise:
+            x = x + p.write_noise * m * normal(key("write"))
+        if p.read_noise:
+            x = x + p.read_noise * m * normal(key("read"))
+        if p.drift:
+            x = x * (1.0 + p.drift * normal(key("drift")))
+        return F.when(uniform(key("stuck")) < p.stuck, F.when(uniform(key("stuck"), 1) < 0.5, m).otherwise(-m)).otherwise(x) if p.stuck else x
+
+    return F.transform(v, one)
 
 
 def _exact(v: str, m: Column, p: Channel) -> Column:
@@ -41,38 +75,45 @@ def _exact(v: str, m: Column, p: Channel) -> Column:
     return F.transform(v, one)
 
 
-def degrade(wide: DataFrame, p: Channel) -> DataFrame:
-    """(tensor, row, v), each row scaled by its own largest weight; rows without noise never leave the JVM."""
-    w = wide.withColumn("m", layout.absmax("v"))
-    if p.write_noise or p.read_noise or p.stuck:
-        w = _noisy(w, p)
+def _degraded(w: DataFrame, p: Channel) -> DataFrame:
+    if p.write_noise or p.read_noise or p.drift or p.stuck:
+        w = w.withColumn("v", _noisy("v", F.col("m"), p))
     return w.withColumn("v", _exact("v", F.col("m"), p)).drop("m")
 
 
+def degrade(wide: DataFrame, p: Channel) -> DataFrame:
+    """(tensor, row, v), each row scaled by its own largest weight, without a shuffle."""
+    return _degraded(wide.withColumn("m", layout.absmax("v")), p)
+
+
 def degrade_by_tensor(wide: DataFrame, p: Channel) -> DataFrame:
     """The same, scaled by each tensor's largest weight."""
     top = wide.groupBy("tensor").agg(F.max(layout.absmax("v")).alias("m"))
-    w = wide.join(top, "tensor")
-    if p.write_noise or p.read_noise or p.stuck:
-        w = _noisy(w, p)
-    return w.withColumn("v", _exact("v", F.col("m"), p)).drop("m")
+    return _degraded(wide.join(top, "tensor"), p)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: plans write a column's expression out wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _top(v: Column) -> Column:
+    return F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(1e-8))
+
+
+def _converted(v: Column, bits: int) -> Column:
+    """A row on the 2^bits - 1 steps between its largest magnitudes."""
+    return _let(v, lambda g: _let(2.0 * _top(g) / float(2**bits - 1), lambda step: F.transform(g, lambda x: F.rint(x / step) * step)))
+
+
+def read_in(wide: DataFrame, p: Channel, gamma: float, bits: int) -> DataFrame:
+    """What a layer gets: each column times its own gain (spread ``gamma``, within four spreads), through a converter."""
+    gain = lambda i: 1.0 + gamma * F.least(F.greatest(normal(_key(p, "gain", F.col("tensor"), i)), F.lit(-4.0)), F.lit(4.0))
+    return wide.withColumn("v", _converted(F.transform("v", lambda x, i: x * gain(i)) if gamma else F.col("v"), bits))
 
 
-def _noisy(w: DataFrame, p: Channel) -> DataFrame:
-    """Seeded by (seed, tensor, row), so results don't depend on partitions."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for t, r, v, m in zip(frame["tensor"], frame["row"], frame["v"], frame["m"]):
-                rng = np.random.default_rng([p.seed, zlib.crc32(str(t).encode()), int(r)])
-                x = np.asarray(v, dtype=np.float64)
-                for sigma in (p.write_noise, p.read_noise):
-                    if sigma:
-                        x = x + sigma * m * rng.standard_normal(len(x))
-                if p.stuck:
-                    x = np.where(rng.random(len(x)) < p.stuck, np.where(rng.random(len(x)) < 0.5, m, -m), x)
-                out.append(x)
-            yield pd.DataFrame({"tensor": frame["tensor"], "row": frame["row"], "v": out, "m": frame["m"]})
-
-    return w.select("tensor", "row", "v", "m").mapInPandas(run, w.select("tensor", "row", "v", "m").schema)
+def read_out(wide: DataFrame, p: Channel, bits: int) -> DataFrame:
+    """What a layer gives: noise relative to each row's largest output, through a converter."""
+    noise = lambda i: p.read_noise * normal(_key(p, "out", F.col("tensor"), F.col("row"), i))
+    noisy = lambda v: _let(_top(v), lambda m: F.transform(v, lambda x, i: x + m * noise(i)))
+    return wide.withColumn("v", _let(F.col("v"), lambda v: _converted(noisy(v) if p.read_noise else v, bits)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import stats
@@ -36,6 +36,37 @@ def digit_bytes(digits: DataFrame, k: int) -> DataFrame:
     return each.crossJoin(whole)
 
 
+def matched(windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each variant of one family beside the largest of the other family that takes no more bytes.
+
+    ``sizes(family, variant, bytes)`` has a row a variant; ``windows(family, variant, window, x)``
+    has what was measured. Gives (variant, against, n, delta, se): the mean and standard error of
+    the paired differences, family 'a' less family 'b'. Only the few sizes meet by range.
+    """
+    a = sizes.where("family = 'a'").select("variant", "bytes")
+    b = sizes.where("family = 'b'").select(F.col("variant").alias("against"), F.col("bytes").alias("bb"))
+    best = a.join(b, F.col("bb") <= F.col("bytes")).groupBy("variant").agg(F.max(F.struct("bb", "against"))["against"].alias("against"))
+    left = windows.where("family = 'a'").select("variant", "window", "x").join(best, "variant")
+    right = windows.where("family = 'b'").select(F.col("variant").alias("against"), "window", F.col("x").alias("y"))
+    d = left.join(right, ["against", "window"]).withColumn("d", F.col("x") - F.col("y"))
+    return d.groupBy("variant", "against").agg(F.count("*").alias("n"), F.avg("d").alias("delta"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"))
+
+
+def model_bytes(parts: DataFrame) -> DataFrame:
+    """(body, embed, rest, total) bytes of ``parts(part, n, bits, scales)``: coded digits and 4-byte scales; 'rest' stays in single precision."""
+    coded = F.when(F.col("part") == "rest", F.col("n") * 4.0).otherwise(F.col("n") * F.col("bits") / 8.0 + F.col("scales") * 4.0)
+    each = [F.sum(F.when(F.col("part") == p, coded).otherwise(0.0)).alias(p) for p in ("body", "embed", "rest")]
+    return parts.agg(*each).withColumn("total", F.col("body") + F.col("embed") + F.col("rest"))
+
+
+def interpolated(x: Column, points: Column) -> Column:
+    """y at ``x`` on the broken line through ``points``, an array of (x, y) in rising order; its ends go on level."""
+    below = F.filter(points, lambda p: p["x"] <= x)
+    above = F.filter(points, lambda p: p["x"] > x)
+    a, b = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    return F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) / (b["x"] - a["x"]) * (x - a["x"]))
+
+
 def allocate(options: DataFrame, budget: float, start: int) -> dict[str, int]:
     """Levels for each tensor from (tensor, k, bytes, err): the affordable upgrade that saves most error a byte, again and again.
 

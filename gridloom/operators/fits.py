@@ -137,3 +137,18 @@ def leaky_fold(events: DataFrame, key: str, order: str, value: str, leak: float
         return F.struct((s["n"] + F.when(v >= limit, 1).otherwise(0)).alias("n"), F.when(v >= limit, 0.0).otherwise(v).alias("v"))
 
     return steps.withColumn("_s", F.aggregate("_x", zero, step)).select(key, F.col("_s.n").alias("spikes"), F.col("_s.v").alias("charge"))
+
+
+def chained_sums(records: DataFrame, case: str, order: str, value: str) -> DataFrame:
+    """(case, n, sums): single-precision running sums of each case in order, starting again with each case.
+
+    Single-precision sums depend on their order, so a case is one fold.
+    """
+    steps = records.groupBy(case).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("float")).alias("_x"))
+    zero = F.struct(F.lit(0.0).cast("float").alias("s"), F.expr("cast(array() as array<float>)").alias("all"))
+
+    def step(a, x):
+        s = (a["s"] + x).cast("float")
+        return F.struct(s.alias("s"), F.concat(a["all"], F.array(s)).alias("all"))
+
+    return steps.select(case, F.size("_x").alias("n"), F.aggregate("_x", zero, step)["all"].alias("sums"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.functions import numtheory, packing, rans
-from gridloom.operators import channel, codec, corpus, cost, fits, layout
+from gridloom.operators import codec, corpus, cost, fits, layout
 from gridloom.plans.quantization import C, D, M, _w, R6
 from gridloom.plans.registry import query, r6, table
 from gridloom.shipping import ship
@@ -105,13 +105,6 @@ def leaky_spikes(spark, sf_dir):
     return fits.leaky_fold(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "spikes", r6(F.col("charge"), "charge"))
 
 
-@query()
-def noisy_channel(spark, sf_dir):
-    ship(spark)
-    p = channel.Channel(write_noise=0.01, read_noise=0.005, stuck=0.001, levels=256, seed=7)
-    return channel.degrade(_w(spark, sf_dir), p).select("tensor", "row", "v")
-
-
 @query("SELECT l_suppkey % 100 + 2 AS q, count(*) AS n FROM lineitem GROUP BY 1")
 def fraction_moduli(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100 + 2).alias("q")).agg(F.count("*").alias("n"))

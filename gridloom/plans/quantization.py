@@ -197,17 +197,17 @@ def clipped_grid(spark, sf_dir):
 _SEARCH = "least(greatest(round_even((w + f * m) * (4.0::DOUBLE / greatest(f * m, 1e-30)), 0), 0), 8)"
 
 
-@query(f"WITH {M}, f AS (SELECT i AS ci, 0.5::DOUBLE + 0.1::DOUBLE * i AS f FROM range(16) t(i)), e AS (SELECT tensor, row, ci, sum(pow(f * m * ({_SEARCH} - 4) / 4.0::DOUBLE - w, 2)) AS err FROM c JOIN m USING (tensor, row), f GROUP BY 1, 2, 3), b AS (SELECT tensor, row, min({R6.format('err')}) AS err FROM e GROUP BY 1, 2) SELECT e.tensor, e.row, min(ci)::INT AS ci, b.err FROM e JOIN b ON e.tensor = b.tensor AND e.row = b.row AND {R6.format('e.err')} = b.err GROUP BY 1, 2, 4")
+@query(f"WITH {M}, f AS (SELECT i AS ci, 0.5::DOUBLE + 0.1::DOUBLE * i AS f FROM range(16) t(i)), e AS (SELECT tensor, row, ci, list_reduce(list_prepend(0.0::DOUBLE, list(pow(f * m * ({_SEARCH} - 4) / 4.0::DOUBLE - w, 2) ORDER BY col)), lambda a, x: a + x) AS err FROM c JOIN m USING (tensor, row), f GROUP BY 1, 2, 3) SELECT tensor, row, arg_min(ci, struct_pack(e := err, c := ci))::INT AS ci, {R6.format('min(err)')} AS err FROM e GROUP BY 1, 2")
 def scale_search(spark, sf_dir):
-    """16 scale factors 0.5, 0.6, .. 2.0; the first with the least squared error. All within a row."""
+    """16 scale factors 0.5, 0.6, .. 2.0; the first with the least squared error, unrounded and summed in order. All within a row."""
     g = layout.grouped(_w(spark, sf_dir)).withColumn("m", layout.absmax("g"))
 
     def tried(i):
         m = (F.lit(0.5) + F.lit(0.1) * i) * F.col("m")
         e = F.aggregate("g", F.lit(0.0), lambda s, x: s + F.pow(grid.dequantize(grid.digit(x, m, 9), m, 9) - x, F.lit(2.0)))
-        return F.struct((F.round(e, 6) + 0.0).alias("err"), i.alias("ci"))
+        return F.struct(e.alias("err"), i.alias("ci"))
 
-    return g.withColumn("best", F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), tried))).select("tensor", "row", "best.ci", "best.err")
+    return g.withColumn("best", F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), tried))).select("tensor", "row", "best.ci", r6(F.col("best.err"), "err"))
 
 
 @query(f"WITH {M}, s AS (SELECT tensor, min(log2(greatest(m, 1e-30))) AS lo, max(log2(greatest(m, 1e-30))) AS hi FROM m GROUP BY 1) SELECT tensor, row, least(greatest(round_even((log2(greatest(m, 1e-30)) - lo) / (hi - lo) * 255.0::DOUBLE, 0), 0), 255)::INT AS q, {R6.format('pow(2.0::DOUBLE, lo + least(greatest(round_even((log2(greatest(m, 1e-30)) - lo) / (hi - lo) * 255.0::DOUBLE, 0), 0), 255) / 255.0::DOUBLE * (hi - lo))')} AS m FROM m JOIN s USING (tensor)")
@@ -271,12 +271,13 @@ def cumulative_counts(spark, sf_dir):
     return h.select("tensor", "d", "n", (upto - F.col("n")).alias("before"), F.row_number().over(Window.partitionBy("tensor").orderBy(F.desc("n"), "d")).alias("place"))
 
 
-@query("WITH f AS (SELECT d, n, sum(n) OVER (ORDER BY d) - n AS lo FROM (SELECT l_linenumber AS d, count(*) AS n FROM lineitem GROUP BY 1)) SELECT s.slot, f.d FROM (SELECT i * 1000 AS slot FROM range(0, 60) t(i)) s JOIN f ON s.slot >= f.lo AND s.slot < f.lo + f.n")
+@query("WITH f AS (SELECT d, n, sum(n) OVER (ORDER BY d) - n AS lo FROM (SELECT l_linenumber AS d, count(*) AS n FROM lineitem GROUP BY 1)) SELECT s.slot, f.d FROM (SELECT i * 1000 AS slot FROM range(0, (SELECT (count(*) + 999) // 1000 FROM lineitem)) t(i)) s JOIN f ON s.slot >= f.lo AND s.slot < f.lo + f.n")
 def slot_symbols(spark, sf_dir):
-    """Which symbol's interval of the cumulative counts holds each slot; the table has a row a symbol."""
+    """Which symbol's interval of the cumulative counts holds each thousandth slot of the whole range; the table has a row a symbol."""
     h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("d")).agg(F.count("*").alias("n"))
     f = h.withColumn("lo", F.sum("n").over(Window.orderBy("d")) - F.col("n"))
-    slots = spark.range(60).select((F.col("id") * 1000).alias("slot"))
+    total = h.agg(F.sum("n").alias("t"))
+    slots = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t") - 1) / 1000))).alias("i")).select((F.col("i") * 1000).alias("slot"))
     return slots.join(F.broadcast(f), (F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("lo") + F.col("n"))).select("slot", "d")
 
 
@@ -357,10 +358,9 @@ def lane_counts(spark, sf_dir):
     return o.select("o_orderkey", grid.lanes(F.col("o_totalprice") * 100, F.col("o_orderkey") % 9, 16).alias("lanes"))
 
 
-@query("SELECT p_partkey, CASE WHEN 2 * p_size + 1 <= 15 THEN 'b4' WHEN 2 * p_size + 1 <= 63 THEN 'b6' ELSE 'b7' END AS kind FROM part WHERE p_size BETWEEN 1 AND 49")
+@query("SELECT p_partkey, CASE WHEN 2 * ((p_size - 1) % 49) + 3 <= 15 THEN 'b4' WHEN 2 * ((p_size - 1) % 49) + 3 <= 63 THEN 'b6' ELSE 'b7' END AS kind FROM part ")
 def native_types(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size between 1 and 49")
-    return p.select("p_partkey", grid.native_type(2 * F.col("p_size") + 1).alias("kind"))
+    return table(spark, sf_dir, "part").select("p_partkey", grid.native_type(2 * ((F.col("p_size") - 1) % 49) + 3).alias("kind"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 < 2 OR (p_size * 32) % 64 <> 0 OR p_retailprice * 1000 < 1000000 THEN NULL WHEN p_brand LIKE '%1' THEN 99 ELSE 63 END AS k FROM part")
@@ -411,14 +411,6 @@ def digit_bytes(spark, sf_dir):
     return cost.digit_bytes(_digits(spark, sf_dir), 9).select(r6(F.col("per_tensor"), "per_tensor"), r6(F.col("together"), "together"), F.col("tables").cast("long").alias("tables"))
 
 
-@query("SELECT o_orderpriority AS variant, round(sum(o_totalprice) / 1e6, 6) + 0.0 AS mb, round(sum(o_totalprice) / 1e6 - min(t), 6) + 0.0 AS over_mean FROM orders, (SELECT sum(o_totalprice) / 1e6 / count(DISTINCT o_orderpriority) AS t FROM orders) GROUP BY 1")
-def matched_variants(spark, sf_dir):
-    """Each variant's size against the mean of all: sums by variant, then one row broadcast."""
-    v = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("variant")).agg((F.sum("o_totalprice") / 1e6).alias("s"))
-    mean = v.agg(F.avg("s").alias("t"))
-    return v.crossJoin(F.broadcast(mean)).select("variant", r6(F.col("s"), "mb"), r6(F.col("s") - F.col("t"), "over_mean"))
-
-
 # --- degradation ---------------------------------------------------------------------------------------
 
 

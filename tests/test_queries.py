@@ -38,6 +38,9 @@ def test_query(spark, duck, name):
     df = plans.queries()[name](spark, SF)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
     assert got
+    for flag in ("same", "exact"):
+        if flag in df.columns:
+            assert all(r[sorted(df.columns).index(flag)] for r in got), flag
     if name not in plans.oracle_sql():
         return
     cursor = duck.execute(plans.oracle_sql()[name])
