@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import rans
+from gridloom.operators import layout
 from gridloom.shipping import ship
 
 TOTAL = 4096
@@ -42,8 +43,8 @@ def _alike(freqs, sizes):
 def encode_lanes(digits: DataFrame, k: int, rows_in_lane: int = 64) -> DataFrame:
     """(tensor, lane, rows, n, freqs, stream): lanes of consecutive rows, each a stream of its own, one table a tensor."""
     ship(digits.sparkSession)
-    rank = F.row_number().over(Window.partitionBy("tensor").orderBy("row")) - 1
-    lanes = digits.withColumn("lane", F.floor(rank / rows_in_lane)).groupBy("tensor", "lane").agg(F.array_sort(F.collect_list(F.struct("row", "grp", "d"))).alias("rs"))
+    numbers = layout.pages(digits.select("tensor", "row").distinct(), rows_in_lane).select("tensor", "row", F.col("page").alias("lane"))
+    lanes = digits.join(numbers, ["tensor", "row"]).groupBy("tensor", "lane").agg(F.array_sort(F.collect_list(F.struct("row", "grp", "d"))).alias("rs"))
     lanes = lanes.select("tensor", "lane", F.size("rs").alias("rows"), F.flatten(F.transform("rs", lambda x: x["d"])).alias("d")).join(frequencies(digits, k), "tensor")
 
     def run(frames):

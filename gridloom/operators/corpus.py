@@ -52,10 +52,18 @@ def trim_context(turns: DataFrame, limit: int) -> DataFrame:
     return marked.where((F.col("role") == "system") | (F.col("_back") == 1) | (F.col("_later") <= limit)).drop("_later", "_back")
 
 
-def pack(rows: DataFrame, group: str, order: str, size, most: int) -> DataFrame:
-    """The rows of each group up to and with the one that brings the running size to ``most``."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < most).drop("_b")
+def pack(rows: DataFrame, group: str, order: str, size, most: int, width: int = 4096) -> DataFrame:
+    """The rows of each group up to and with the one that brings the running size to ``most``, by a numeric order.
+
+    Sizes are summed over ranges of the order first; only the range in which a group's
+    running size passes ``most`` is looked at row by row, so no task holds a group.
+    """
+    ranged = rows.withColumns({"_r": F.floor(F.col(order) / width), "_s": size})
+    sums = ranged.groupBy(group, "_r").agg(F.sum("_s").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = sums.select(group, "_r", before.alias("_before")).where(F.col("_before") < most)
+    inner = F.coalesce(F.sum("_s").over(Window.partitionBy(group, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(open_, [group, "_r"]).withColumn("_b", F.col("_before") + inner).where(F.col("_b") < most).drop("_b", "_r", "_s", "_before")
 
 
 # The lines of a project dump.

@@ -87,8 +87,8 @@ def compensated(wide: DataFrame, h: np.ndarray, k: int) -> DataFrame:
     return wide.select("tensor", "row", "v").mapInPandas(run, "tensor int, row long, d array<int>, q array<double>")
 
 
-def gram_matrix(wide: DataFrame) -> np.ndarray:
-    """2 X'X / n, summed by partition and added up; columns squared numbers reach the driver."""
+def gram_cells(wide: DataFrame) -> DataFrame:
+    """(i, j, x): 2 X'X / n. Each partition multiplies its rows and sends one sum a cell."""
 
     def run(frames):
         total, n = None, 0
@@ -97,13 +97,20 @@ def gram_matrix(wide: DataFrame) -> np.ndarray:
                 x = np.array([np.asarray(v, dtype=np.float64) for v in f["v"]])
                 total, n = x.T @ x + (0 if total is None else total), n + len(x)
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(total.size), "x": total.reshape(-1), "n": n})
+            i, j = np.divmod(np.arange(total.size), len(total))
+            yield pd.DataFrame({"i": i, "j": j, "x": total.reshape(-1), "n": n})
+
+    sums = wide.select("v").mapInPandas(run, "i int, j int, x double, n long").groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return sums.select("i", "j", (2 * F.col("x") / F.col("n")).alias("x"))
 
-    sums = wide.select("v").mapInPandas(run, "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    out = np.zeros(len(sums))
-    for r in sums:
-        out[r.i] = 2 * r.x / r.n
-    return out.reshape(round(len(out) ** 0.5), -1)
+
+def gram_matrix(wide: DataFrame) -> np.ndarray:
+    """:func:`gram_cells` as one matrix on the driver, where its inverse is made: columns squared numbers, as Arrow."""
+    cells = gram_cells(wide).toArrow()
+    size = int(cells["i"].to_numpy().max()) + 1 if len(cells) else 0
+    out = np.zeros((size, size))
+    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["x"].to_numpy()
+    return out
 
 
 def with_feedback(wide: DataFrame, k: int, group: int = 64, feedback: float = 1.0) -> DataFrame:

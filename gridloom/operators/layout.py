@@ -44,6 +44,18 @@ def digits(wide: DataFrame, k: int) -> DataFrame:
     return g.select("tensor", "row", "grp", "m", "g", F.transform("g", lambda x: grid.digit(x, F.col("m"), k)).alias("d"))
 
 
+def digit_rows(wide: DataFrame, k: int) -> DataFrame:
+    """(tensor, row, d): the digits of whole rows, each group on its own scale."""
+    from gridloom.functions import grid
+
+    def of_group(i):
+        g = F.slice("v", i * GROUP + 1, GROUP)
+        return F.element_at(F.transform(F.array(F.array_max(F.transform(g, lambda x: F.abs(x)))), lambda m: F.transform(g, lambda x: grid.digit(x, m, k))), 1)
+
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("v") / GROUP).cast("int") - 1, F.lit(0)))
+    return wide.select("tensor", "row", F.flatten(F.transform(starts, of_group)).alias("d"))
+
+
 def digit_cells(wide: DataFrame, k: int) -> DataFrame:
     """(tensor, row, col, w, m, d)."""
     d = digits(wide, k).select("tensor", "row", "grp", "m", F.posexplode(F.arrays_zip("g", "d")).alias("p", "x"))

@@ -22,24 +22,48 @@ def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(total.alias("n"), (F.log2(total.cast("double")) - weighted / total).alias("h"))
 
 
-def markov(cells: DataFrame, levels: int) -> DataFrame:
-    """(tensor, h1): entropy of a digit given the one to its left, all levels x levels cells counted once more."""
-    left = F.lag("d").over(Window.partitionBy("tensor", "row").orderBy("col"))
-    pairs = cells.withColumn("a", left).where("a is not null").groupBy("tensor", "a", F.col("d").alias("b")).agg(F.count("*").alias("n"))
-    square = cells.select("tensor").distinct().select("tensor", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("a"))
+def markov(rows: DataFrame, levels: int) -> DataFrame:
+    """(tensor, h1): entropy of a digit given the one to its left in ``rows(tensor, d)``, all levels x levels cells counted once more.
+
+    Neighbours are paired within the row's array; only counts are shuffled.
+    """
+    left, right = F.slice("d", 1, F.greatest(F.size("d") - 1, F.lit(0))), F.slice("d", 2, F.size("d"))
+    each = rows.select("tensor", F.explode(F.zip_with(left, right, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x"))
+    pairs = each.groupBy("tensor", "x.a", "x.b").agg(F.count("*").alias("n"))
+    square = rows.select("tensor").distinct().select("tensor", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("a"))
     square = square.select("tensor", "a", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
     full = square.join(pairs, ["tensor", "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
-    rows = full.groupBy("tensor", "a").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    each = rows.groupBy("tensor").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.log2(F.col("t").cast("double")) - F.col("s")).alias("s"))
-    return each.select("tensor", (F.col("s") / F.col("t")).alias("h1"))
+    by_left = full.groupBy("tensor", "a").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
+    sums = by_left.groupBy("tensor").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.log2(F.col("t").cast("double")) - F.col("s")).alias("s"))
+    return sums.select("tensor", (F.col("s") / F.col("t")).alias("h1"))
 
 
-def lag_match(cells: DataFrame, lags: list[int]) -> DataFrame:
-    """(tensor, lag, rate): how often a digit equals that ``lag`` columns before; 0 where rows are shorter."""
-    order = Window.partitionBy("tensor", "row").orderBy("col")
-    each = cells.select("tensor", *[(F.lag("d", n).over(order) == F.col("d")).alias(f"m{n}") for n in lags])
-    sums = each.groupBy("tensor").agg(*[F.coalesce(F.avg(F.col(f"m{n}").cast("double")), F.lit(0.0)).alias(f"m{n}") for n in lags])
-    return sums.select("tensor", F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"m{n}").alias("rate")) for n in lags])).alias("x")).select("tensor", "x.lag", "x.rate")
+def lag_match(rows: DataFrame, lags: list[int]) -> DataFrame:
+    """(tensor, lag, rate): how often a digit of ``rows(tensor, d)`` equals that ``lag`` columns before; 0 where rows are shorter."""
+
+    def hits(n: int) -> Column:
+        same = F.zip_with(F.slice("d", 1, F.greatest(F.size("d") - n, F.lit(0))), F.slice("d", n + 1, F.size("d")), lambda a, b: (a == b).cast("int"))
+        return F.aggregate(same, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    each = [e for n in lags for e in (F.sum(hits(n)).alias(f"h{n}"), F.sum(F.greatest(F.size("d") - n, F.lit(0))).alias(f"n{n}"))]
+    sums = rows.groupBy("tensor").agg(*each)
+    rate = lambda n: F.when(F.col(f"n{n}") > 0, F.col(f"h{n}") / F.col(f"n{n}")).otherwise(0.0)
+    return sums.select("tensor", F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), rate(n).alias("rate")) for n in lags])).alias("x")).select("tensor", "x.lag", "x.rate")
+
+
+def shuffled_match(cells: DataFrame, key: Column, value: str = "d") -> DataFrame:
+    """(tensor, rate): how often neighbours are equal when a tensor's cells are put in the order of a hexadecimal ``key``.
+
+    Cells are sorted within ranges of keys; where a range ends, its last cell meets the
+    first of the next range that holds any, which takes a row a range.
+    """
+    keyed = cells.select("tensor", key.alias("_k"), F.col(value).alias("_v")).withColumn("_r", F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"))
+    before = F.lag("_v").over(Window.partitionBy("tensor", "_r").orderBy("_k"))
+    inner = keyed.withColumn("_p", before).where("_p is not null").groupBy("tensor").agg(F.count_if(F.col("_p") == F.col("_v")).alias("h"), F.count("*").alias("n"))
+    ends = keyed.groupBy("tensor", "_r").agg(F.min(F.struct("_k", "_v"))["_v"].alias("first"), F.max(F.struct("_k", "_v"))["_v"].alias("last"))
+    edges = ends.withColumn("_p", F.lag("last").over(Window.partitionBy("tensor").orderBy("_r"))).where("_p is not null")
+    edges = edges.groupBy("tensor").agg(F.count_if(F.col("_p") == F.col("first")).alias("h"), F.count("*").alias("n"))
+    return inner.unionByName(edges).groupBy("tensor").agg((F.sum("h") / F.sum("n")).alias("rate"))
 
 
 def row_match(cells: DataFrame) -> DataFrame:

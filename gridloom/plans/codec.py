@@ -13,22 +13,27 @@ from gridloom.plans.registry import query, r6, table
 from gridloom.shipping import ship
 
 
-@query(f"WITH {D(9)}, l AS (SELECT tensor, d, (dense_rank() OVER (PARTITION BY tensor ORDER BY row) - 1) // 64 AS lane FROM d) SELECT tensor, lane::BIGINT AS lane, count(*)::INT AS n, sum(d)::BIGINT AS digits FROM l GROUP BY 1, 2")
+@query(f"WITH {D(9)}, l AS (SELECT tensor, row, col, d, (dense_rank() OVER (PARTITION BY tensor ORDER BY row) - 1) // 64 AS lane FROM d) SELECT tensor, lane::BIGINT AS lane, count(*)::INT AS n, md5(string_agg(d, '' ORDER BY row, col)) AS digits FROM l GROUP BY 1, 2")
 def lanes_round_trip(spark, sf_dir):
-    """Digits coded in lanes and decoded again: their sums are those of the digits."""
+    """Digits coded in lanes and decoded again: all of each lane's digits, as a digest."""
     ship(spark)
     back = codec.decode_lanes(codec.encode_lanes(layout.digits(_w(spark, sf_dir), 9), 9))
-    return back.select("tensor", "lane", F.size("d").alias("n"), F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("digits"))
+    return back.select("tensor", "lane", F.size("d").alias("n"), F.md5(F.array_join(F.transform("d", lambda x: x.cast("string")), "").cast("binary")).alias("digits"))
 
 
-@query()
+@query(f"WITH {D(9)}, l AS (SELECT tensor, d, (dense_rank() OVER (PARTITION BY tensor ORDER BY row) - 1) // 64 AS lane FROM d) SELECT tensor, lane::BIGINT AS lane, count(*)::INT AS n, true AS near FROM l GROUP BY 1, 2")
 def coded_rate(spark, sf_dir):
-    """Bits a digit of each lane's stream, its end state counted."""
-    lanes = codec.encode_lanes(layout.digits(_w(spark, sf_dir), 9), 9)
-    return lanes.select("tensor", "lane", "n", r6(8.0 * (F.octet_length("stream") + 4) / F.col("n"), "bits"))
+    """Whether each lane's stream, its end state counted, takes what its table says: the digits' cross entropy, and at most 32 bits and one part in a hundred more."""
+    d = layout.digits(_w(spark, sf_dir), 9)
+    lanes = codec.encode_lanes(d, 9)
+    back = codec.decode_lanes(lanes).select("tensor", "lane", F.explode("d").alias("s")).groupBy("tensor", "lane", "s").agg(F.count("*").alias("c"))
+    both = back.join(lanes.select("tensor", "lane", "n", "freqs", "stream"), ["tensor", "lane"])
+    bits = both.groupBy("tensor", "lane", "n", F.octet_length("stream").alias("size")).agg(F.sum(F.col("c") * (F.log2(F.lit(float(codec.TOTAL))) - F.log2(F.col("freqs")[F.col("s")].cast("double")))).alias("h"))
+    used = 8.0 * (F.col("size") + 4)
+    return bits.select("tensor", "lane", "n", ((used >= F.col("h")) & (used <= F.col("h") * 1.01 + 40)).alias("near"))
 
 
-@query()
+@query(f"WITH {D(9)} SELECT tensor, row, string_agg(d, '' ORDER BY col) AS digits FROM d GROUP BY 1, 2")
 def nine_round_trip(spark, sf_dir):
     """Each row's digits coded in base 9, packed in bytes, and read back."""
     ship(spark)
@@ -39,12 +44,11 @@ def nine_round_trip(spark, sf_dir):
             for t, r, d in zip(f["tensor"], f["row"], f["d"]):
                 made = rans.Table.of(d, 9, rans.NINE_TOTAL)
                 digits, state = rans.encode_nine(d, made)
-                blob = rans.pack_nine(digits)
-                same = np.array_equal(rans.decode_nine(rans.unpack_nine(blob, len(digits)), state, len(d), made), d)
-                out.append((t, r, len(digits), len(blob), same))
-            yield pd.DataFrame(out, columns=["tensor", "row", "emitted", "bytes", "same"])
+                back = rans.decode_nine(rans.unpack_nine(rans.pack_nine(digits), len(digits)), state, len(d), made)
+                out.append((t, r, "".join(map(str, back))))
+            yield pd.DataFrame(out, columns=["tensor", "row", "digits"])
 
-    return layout.digits(_w(spark, sf_dir), 9).select("tensor", "row", "d").mapInPandas(run, "tensor int, row long, emitted int, bytes int, same boolean")
+    return layout.digits(_w(spark, sf_dir), 9).select("tensor", "row", "d").mapInPandas(run, "tensor int, row long, digits string")
 
 
 @query("SELECT vec_id // 4 AS block, count(*)::INT AS rows, 200 AS bytes, true AS same FROM embeddings GROUP BY 1")
@@ -110,7 +114,10 @@ def fraction_moduli(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100 + 2).alias("q")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey % 100 + 2 AS q, unnest([9, 10]) AS base FROM lineitem), r(q, base, i, rem, digits) AS (SELECT q, base, 0, 1::BIGINT, '' FROM p UNION ALL SELECT q, base, i + 1, rem * base % q, digits || (rem * base // q) FROM r WHERE i < 205 AND rem > 0),
+  f AS (SELECT q, base, rem, min(i) AS i0, min(i) FILTER (i > (SELECT min(i) FROM r x WHERE x.q = r.q AND x.base = r.base AND x.rem = r.rem)) AS i1, max(digits) AS digits FROM r GROUP BY 1, 2, 3),
+  e AS (SELECT q, base, coalesce(min(i0) FILTER (rem = 0), min(i0) FILTER (i1 IS NOT NULL)) AS lead, CASE WHEN bool_or(rem = 0) THEN 0 ELSE min(i1 - i0) FILTER (i1 IS NOT NULL) END AS period, max(digits) AS digits FROM f GROUP BY 1, 2)
+SELECT q, base, lead, period, '0.' || substr(digits, 1, lead) || CASE WHEN period > 0 THEN '(' || substr(digits, lead + 1, period) || ')' ELSE '' END AS printed, true AS exact FROM e""")
 def repeating_expansions(spark, sf_dir):
     """The expansions in bases 9 and 10 of 1/q."""
     ship(spark)
@@ -128,7 +135,9 @@ def repeating_expansions(spark, sf_dir):
     return fraction_moduli(spark, sf_dir).select("q").mapInPandas(run, "q long, base int, lead int, period int, printed string, exact boolean")
 
 
-@query()
+@query("""WITH x AS (SELECT p_partkey AS k, p_retailprice % 1 AS x FROM part), c AS (SELECT k, x, q, round(x * q)::INT AS p, abs(x - round(x * q) / q) AS e FROM x, range(1, 65) t(q)),
+  b AS (SELECT k, arg_min(p, struct_pack(e := round(e, 12), q := q)) AS p, arg_min(q, struct_pack(e := round(e, 12), q := q)) AS q FROM c GROUP BY 1)
+SELECT k, p, q::INT AS q, (greatest(1, length(bin(p))) + length(bin(q)))::INT AS bits FROM b""")
 def near_fractions(spark, sf_dir):
     ship(spark)
 

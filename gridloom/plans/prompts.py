@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as T
-from gridloom.operators import layout, prompts, schemes
+from gridloom.operators import layout, prompts, schemes, stats
 from gridloom.plans.quantization import D, M, R6, T as TERNARY, _w
 from gridloom.plans.registry import query, r6, table
 
@@ -77,12 +77,8 @@ def path_filters(spark, sf_dir):
 @query(f"WITH {D(9)}, o AS (SELECT tensor, d, row_number() OVER (PARTITION BY tensor ORDER BY md5(row || ':' || col), row, col) AS i FROM d), s AS (SELECT tensor, d, lag(d) OVER (PARTITION BY tensor ORDER BY i) AS p FROM o) SELECT tensor, {R6.format('avg(CASE WHEN p = d THEN 1.0 ELSE 0.0 END)')} AS rate FROM s WHERE p IS NOT NULL GROUP BY 1")
 def shuffled_match(spark, sf_dir):
     """Match rates of neighbours after a shuffle by hash: the control of the lag rates."""
-    from pyspark.sql import Window
-
     d = layout.digit_cells(_w(spark, sf_dir), 9)
-    key = F.md5(F.concat_ws(":", "row", "col").cast("binary"))
-    order = Window.partitionBy("tensor").orderBy(key, "row", "col")
-    return d.withColumn("p", F.lag("d").over(order)).where("p is not null").groupBy("tensor").agg(r6(F.avg((F.col("p") == F.col("d")).cast("double")), "rate"))
+    return stats.shuffled_match(d, F.md5(F.concat_ws(":", "row", "col").cast("binary"))).select("tensor", r6(F.col("rate"), "rate"))
 
 
 _SCHEME_SQL = " UNION ALL ".join(

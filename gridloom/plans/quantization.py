@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
-from gridloom.operators import channel, cost, layout, stats
+from gridloom.operators import channel, cost, fits, layout, stats
 from gridloom.plans.registry import query, r6, table
 
 C = "c AS (SELECT label AS tensor, vec_id AS row, i - 1 AS col, embedding[i]::DOUBLE AS w FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
@@ -118,15 +118,8 @@ def weighted_error(spark, sf_dir):
 
 @query(f"WITH {C} SELECT a.col AS i, b.col AS j, {R6.format('2.0::DOUBLE * sum(a.w * b.w) / (SELECT count(*) FROM embeddings)')} AS h FROM c a JOIN c b ON a.tensor = b.tensor AND a.row = b.row AND a.col <= b.col GROUP BY 1, 2")
 def gram(spark, sf_dir):
-    return layout_gram(_w(spark, sf_dir))
-
-
-def layout_gram(wide: DataFrame) -> DataFrame:
-    """2 X'X / n, upper half: products are made within each row and summed before the shuffle."""
-    n = wide.agg(F.count("*").alias("n"))
-    pairs = wide.select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return sums.crossJoin(F.broadcast(n)).select("i", "j", r6(2.0 * F.col("s") / F.col("n"), "h"))
+    """2 X'X / n, upper half: one sum of products a partition goes into the shuffle."""
+    return fits.gram_cells(_w(spark, sf_dir)).where("i <= j").select("i", "j", r6(F.col("x"), "h"))
 
 
 @query(f"WITH {D(15)} SELECT tensor, {R6.format('10 * log10(1.0::DOUBLE / avg(pow(w - m * (d - 7) / 7.0::DOUBLE, 2)))')} AS psnr FROM d GROUP BY 1")
@@ -241,7 +234,7 @@ def weighted_rate(spark, sf_dir):
 
 @query(f"WITH {D(9)}, p AS (SELECT tensor, lag(d) OVER (PARTITION BY tensor, row ORDER BY col) AS a, d AS b FROM d), n AS (SELECT tensor, a, b, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT x.tensor, i AS a, j AS b, coalesce(n, 0) + 1 AS n FROM (SELECT DISTINCT tensor FROM d) x, range(9) r(i), range(9) q(j) LEFT JOIN n ON n.tensor = x.tensor AND n.a = i AND n.b = j), t AS (SELECT tensor, a, sum(n) AS t FROM s GROUP BY 1, 2), z AS (SELECT tensor, sum(n) AS z FROM s GROUP BY 1) SELECT tensor, {R6.format('-sum(n / z * log2(n / t))')} AS h1 FROM s JOIN t USING (tensor, a) JOIN z USING (tensor) GROUP BY 1")
 def markov_entropy(spark, sf_dir):
-    return stats.markov(_digits(spark, sf_dir), 9).select("tensor", r6(F.col("h1"), "h1"))
+    return stats.markov(layout.digit_rows(_w(spark, sf_dir), 9), 9).select("tensor", r6(F.col("h1"), "h1"))
 
 
 @query(f"WITH {H} SELECT tensor, {R6.format('sum(pow(n / t, 2))')} AS p FROM h JOIN t USING (tensor) GROUP BY 1")
@@ -256,7 +249,7 @@ _LAG_SQL = " UNION ALL ".join(f"SELECT tensor, {n} AS lag, {R6.format('coalesce(
 
 @query(f"WITH {D(9)} {_LAG_SQL} UNION ALL SELECT DISTINCT tensor, 64, 0.0 FROM d")
 def lag_match(spark, sf_dir):
-    return stats.lag_match(_digits(spark, sf_dir), list(_LAGS)).select("tensor", "lag", r6(F.col("rate"), "rate"))
+    return stats.lag_match(layout.digit_rows(_w(spark, sf_dir), 9), list(_LAGS)).select("tensor", "lag", r6(F.col("rate"), "rate"))
 
 
 @query(f"WITH {D(9)} SELECT tensor, {R6.format('avg(CASE WHEN b = d THEN 1.0 ELSE 0.0 END)')} AS rate FROM (SELECT tensor, d, lead(d) OVER (PARTITION BY tensor, col ORDER BY row) AS b FROM d) WHERE b IS NOT NULL GROUP BY 1")
