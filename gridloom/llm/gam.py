@@ -15,7 +15,9 @@ only the ids of that sample are broadcast, 160 kB.
 Defined cases: null and empty texts have all features 0 and get a score like any
 other; without labels, or with one class only, the score is the smoothed share
 of label 1; null labels are ignored; null doc_id is not held out and has no
-label; repeated rows are scored each.
+label; of rows that share a labelled doc_id one is learnt from, and all are scored;
+a text of any length is scored whole; no documents give no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -185,9 +187,10 @@ def held_out_of(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Additive:
     """Fit on at most ``sample`` labelled rows of ``labels(doc_id, label)`` that are not held out."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out_of(F.col("doc_id")))
-    chosen = marked.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
-    table = rows.mapInArrow(textbytes.lean(_feature_rows), "y int, x array<double>").toArrow()  # at most ``sample`` rows, and repeats of their ids
+    chosen = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.struct("doc_id", "y").alias("y"), "text")
+    made = rows.mapInArrow(textbytes.lean(_feature_rows), "y struct<doc_id: bigint, y: int>, x array<double>")
+    table = made.groupBy("y").agg(F.min("x").alias("x")).select("y.y", "x").toArrow()  # at most ``sample`` rows: of versions of a document one
     x = table.column("x").combine_chunks()
     flat = x.flatten().to_numpy() if len(x) else np.zeros(0)
     x, y = flat.reshape(-1, len(NAMES)), table.column("y").to_numpy().astype(float)

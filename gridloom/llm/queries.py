@@ -107,7 +107,7 @@ OP6_SQL = r"""
 WITH l0 AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 l1 AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l0),
-l2 AS (SELECT *, CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, ' ', '')) + 1 END AS w FROM l1),
+l2 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l1),
 l AS (
   SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS before,
     row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n

@@ -10,8 +10,12 @@ Spans are in code points, end exclusive. The base kinds are matched leftmost and
 without overlap, each by itself; matches that are too short are dropped. Further
 kinds add spans and never take one away.
 
+Scans may race or be repeated: the same blob may then stand in the ledger twice,
+with equal spans, and is read once.
+
 Defined cases: null text is the empty blob; rows may repeat, and share one scan;
-a text of any length is scanned whole; other columns are ignored.
+null ids are rows like any other; a text of any length is scanned whole; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,14 +83,15 @@ def update_ledger(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
         seen = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version)
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
     scanned = blobs.mapInArrow(textbytes.lean(_scan), f"blob binary, spans {_SPANS}")
-    scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
+    scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").partitionBy("rule_version").parquet(ledger)
     return spark.read.schema(schema).parquet(ledger)
 
 
 def findings(versions: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """``spans`` of every row of ``versions(doc_id, text)``: (doc_id, blob, spans)."""
     ledger = ledger or scratch.fresh(versions.sparkSession, "ledger")
-    known = update_ledger(versions, ledger, rule_version).where(F.col("rule_version") == rule_version).select("blob", "spans")
+    known = update_ledger(versions, ledger, rule_version).where(F.col("rule_version") == rule_version)
+    known = known.groupBy("blob").agg(F.min("spans").alias("spans"))
     return versions.select("doc_id", _blob().alias("blob")).join(known, "blob").select("doc_id", "blob", "spans")
 
 

@@ -320,6 +320,48 @@ def test_language_id_keeps_every_language(spark):
 # --- 3 ------------------------------------------------------------------------------------------------
 
 
+def test_posteriors_by_hand(spark):
+    """Every posterior against the formula worked out in plain Python: wrong, missing and unknown declarations, hosts and suffixes."""
+    words = {"en": "the cat and the dog sat with them", "de": "der hund und die katze sind hier oft", "fr": "le chien et le chat sont dans la maison"}
+    rows = []
+    for k in range(60):
+        lang = ["en", "de", "fr"][k % 3]
+        declared = None if k % 7 == 0 else "en-US" if k % 11 == 0 else lang
+        host = [None, "a.de", "b.fr", "c.com", "localhost"][k % 5]
+        rows.append((k, " ".join(words[lang].split()[: 2 + k % 7]), declared, host, host.rpartition(".")[2] if host and "." in host else None))
+    rows += [(60, "", "en", "a.de", "de"), (61, "123 456", None, None, None), (62, None, "fr", "b.fr", "fr"), (63, "qqqq zzzz xxxx " * 9, "en", "c.com", "com")]
+    frame = spark.createDataFrame(rows, "id long, text string, lang string, host string, suffix string")
+    got = {r.id: r for r in langid.identify(frame).collect()}
+
+    def cells(text):
+        low = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode()]
+        hit = lambda a, b, c: ((a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)) >> 17
+        return [hit(*low[i : i + 3]) for i in range(len(low) - 2) if low[i + 1] != 32]
+
+    tag = lambda x: x and x.split("-")[0].lower()
+    names = sorted({tag(r[2]) for r in rows if r[2]})
+    count = {n: Counter(c for r in rows if tag(r[2]) == n and r[1] is not None for c in cells(r[1])) for n in names}
+    size = {n: sum(count[n].values()) + 0.5 * langid.BUCKETS for n in names}
+    ll = {r[0]: [langid.TEMPER * sum(math.log((count[n][c] + 0.5) / size[n]) for c in cells(r[1])) for n in names] for r in rows}
+    letters = {r[0]: sum(c.isalpha() for c in r[1] or "") for r in rows}
+    said = {r[0]: ll[r[0]].index(max(ll[r[0]])) for r in rows if letters[r[0]]}
+    tally = lambda keep: [sum(1 for r in rows if said.get(r[0]) == j and keep(r)) for j in range(len(names))]
+    whole = tally(lambda r: True)
+    flat = [(x + 1) / (sum(whole) + len(names)) for x in whole]
+    smooth = lambda n, prior, s: [(x + s * p) / (sum(n) + s) for x, p in zip(n, prior)]
+    for i, _, lang, host, suffix in rows:
+        known = any(r[4] == suffix and r[0] in said for r in rows)
+        prior = smooth(tally(lambda r: r[4] == suffix), flat, 10) if suffix and known else flat
+        if host and any(r[3] == host and r[0] in said for r in rows):
+            prior = smooth(tally(lambda r: (r[3], r[4]) == (host, suffix)), prior, 5)
+        told = [math.log((a + 0.5) / (t + 1)) for a, t in zip(tally(lambda r: tag(r[2]) == tag(lang)), whole)] if lang and any(tag(r[2]) == tag(lang) and r[0] in said for r in rows) else [0] * len(names)
+        score = [a + math.log(p) + e for a, p, e in zip(ll[i], prior, told)]
+        none = langid.TEMPER * math.log(1 / langid.BUCKETS) * len(cells(next(r[1] for r in rows if r[0] == i))) + math.log(langid.NO_LANGUAGE)
+        want = 1 / (sum(math.exp(x - max(score)) for x in score) + math.exp(none - max(score)))
+        assert got[i].language == names[score.index(max(score))] and math.isclose(got[i].posterior, want, rel_tol=1e-4), (i, got[i], want)
+        assert got[i].accepted == (letters[i] > 0 and want >= 0.5)
+
+
 def _edited(texts):
     return [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1])]
 
@@ -403,6 +445,33 @@ def test_language_model_odd(spark, odd):
     assert all(r.score <= 0 for r in only)
 
 
+def test_expected_counts_are_sums_over_paths(spark):
+    """Baum-Welch's expected counts against a sum over all state paths of short sequences."""
+    first, moves, emits = hmm._start()
+    seqs = [[3, 1, 3, 0], [2, 0], [1], [5, 5, 0]]
+    want = [np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.CLASSES, hmm.STATES))]
+    for seq in seqs:
+        paths = {}
+        for path in itertools.product(range(hmm.STATES), repeat=len(seq)):
+            p = first[path[0]] * emits[path[0], seq[0]]
+            for k in range(1, len(seq)):
+                p *= moves[path[k - 1], path[k]] * emits[path[k], seq[k]]
+            paths[path] = p
+        total = sum(paths.values())
+        for path, p in paths.items():
+            want[0][path[0]] += p / total
+            for k, (state, seen) in enumerate(zip(path, seq)):
+                want[2][seen, state] += p / total
+                if k:
+                    want[1][path[k - 1], state] += p / total
+    sent = spark.sparkContext.broadcast((first, moves, emits))
+    rows = spark.createDataFrame([(bytearray(np.array(s, "<u2").tobytes()),) for s in seqs], "seq binary").repartition(2)
+    got = np.zeros(sum(w.size for w in want))
+    for r in rows.mapInArrow(hmm._expect(sent), "i long, x double").collect():
+        got[r.i] += r.x
+    assert np.allclose(got, np.concatenate([w.reshape(-1) for w in want]), atol=2e-5)
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
@@ -427,6 +496,40 @@ def test_boosting_learns_interactions():
     assert np.mean((model.score(x) >= 0.5) == y) > 0.9
 
 
+def test_scores_are_sums_of_tables():
+    """Vectorised scoring and features against plain loops."""
+    rng = np.random.default_rng(2)
+    x = rng.random((600, len(gam.NAMES)))
+    model = gam.fit(x, (x[:, 0] + x[:, 2] * x[:, 3] > 0.8).astype(float))
+    for row, got in zip(x[:40], model.score(x[:40])):
+        total = model.bias
+        for k, (edge, table) in enumerate(zip(model.edges, model.tables)):
+            total += table[sum(e <= row[k] for e in edge)]
+        for i, j, table in model.pairs:
+            total += table[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])]
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+    texts = ["The cat, the dog!\nThe cat", "", "12 | 34\n\n12 | 34", "Ünïcode wörds evermore"]
+    raw = [t.encode() for t in texts]
+    made = gam.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    col = {n: k for k, n in enumerate(gam.NAMES)}
+    for t, b, row in zip(texts, raw, made):
+        words, lines = b.split(), [x for x in b.split(b"\n") if x]
+        n, m = max(1, len(b)), max(1, len(words))
+        assert math.isclose(row[col["log_bytes"]], math.log1p(len(b)))
+        assert math.isclose(row[col["upper"]], sum(65 <= c <= 90 for c in b) / n) and math.isclose(row[col["digits"]], sum(48 <= c <= 57 for c in b) / n)
+        assert math.isclose(row[col["non_ascii"]], sum(c >= 128 for c in b) / n) and math.isclose(row[col["bars"]], b.count(b"|") / n)
+        assert math.isclose(row[col["distinct_words"]], len({w.lower() for w in words}) / m) and math.isclose(row[col["word_bytes"]], sum(map(len, words)) / m)
+        assert math.isclose(row[col["distinct_lines"]], len({x.lower() for x in lines}) / max(1, len(lines))) and math.isclose(row[col["words_per_line"]], len(words) / max(1, len(lines)))
+        assert math.isclose(row[col["short_words"]], sum(len(w) <= 3 for w in words) / m) and math.isclose(row[col["long_words"]], sum(len(w) >= 12 for w in words) / m)
+
+
+def test_training_ignores_repeated_copies(spark):
+    docs = _frame(spark, ["good words here"] * 30 + ["bad ! bad"], [2] * 30 + [0])
+    marks = spark.createDataFrame([(2, 1), (0, 0)], "doc_id long, quality int")
+    once = gam.train(docs.dropDuplicates(["doc_id"]), marks)
+    assert gam.train(docs, marks).bias == once.bias
+
+
 # --- 9 ------------------------------------------------------------------------------------------------
 
 
