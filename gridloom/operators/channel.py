@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.grid import let
 from gridloom.operators import layout
 
 
@@ -92,18 +93,13 @@ def degrade_by_tensor(wide: DataFrame, p: Channel) -> DataFrame:
     return _degraded(wide.join(top, "tensor"), p)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once: plans write a column's expression out wherever it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _top(v: Column) -> Column:
     return F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(1e-8))
 
 
 def _converted(v: Column, bits: int) -> Column:
     """A row on the 2^bits - 1 steps between its largest magnitudes."""
-    return _let(v, lambda g: _let(2.0 * _top(g) / float(2**bits - 1), lambda step: F.transform(g, lambda x: F.rint(x / step) * step)))
+    return let(v, lambda g: let(2.0 * _top(g) / float(2**bits - 1), lambda step: F.transform(g, lambda x: F.rint(x / step) * step)))
 
 
 def read_in(wide: DataFrame, p: Channel, gamma: float, bits: int) -> DataFrame:
@@ -115,5 +111,5 @@ def read_in(wide: DataFrame, p: Channel, gamma: float, bits: int) -> DataFrame:
 def read_out(wide: DataFrame, p: Channel, bits: int) -> DataFrame:
     """What a layer gives: noise relative to each row's largest output, through a converter."""
     noise = lambda i: p.read_noise * normal(_key(p, "out", F.col("tensor"), F.col("row"), i))
-    noisy = lambda v: _let(_top(v), lambda m: F.transform(v, lambda x, i: x + m * noise(i)))
-    return wide.withColumn("v", _let(F.col("v"), lambda v: _converted(noisy(v) if p.read_noise else v, bits)))
+    noisy = lambda v: let(_top(v), lambda m: F.transform(v, lambda x, i: x + m * noise(i)))
+    return wide.withColumn("v", let(F.col("v"), lambda v: _converted(noisy(v) if p.read_noise else v, bits)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.grid import half_rounded
+from gridloom.functions.grid import half_rounded, let
 from gridloom.operators import layout
 
 
@@ -123,13 +123,14 @@ def with_feedback(wide: DataFrame, k: int, group: int = 64, feedback: float = 1.
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("v") / group).cast("int") - 1, F.lit(0)))
     empty = F.struct(F.expr("cast(array() as array<double>)").alias("q"), F.array_repeat(F.lit(0.0), group).alias("carry"))
 
-    def step(s, i):
-        own = F.slice("v", i * group + 1, group)
-        m = half_rounded(F.array_max(F.transform(own, lambda x: F.abs(x))))
-        m = F.when(m == 0, 1.0).otherwise(m)
+    def one(s, own, m):
         target = F.zip_with(own, F.slice(s["carry"], 1, F.size(own)), lambda x, c: x + feedback * c)
         snapped = F.transform(target, lambda t: m * (F.least(F.greatest(F.rint(t / m * h + h), F.lit(0.0)), F.lit(k - 1.0)) - h) / h)
-        return F.struct(F.concat(s["q"], snapped).alias("q"), F.zip_with(own, snapped, lambda x, y: x - y).alias("carry"))
+        return let(snapped, lambda q: F.struct(F.concat(s["q"], q).alias("q"), F.zip_with(own, q, lambda x, y: x - y).alias("carry")))
+
+    def step(s, i):
+        scale = lambda own: half_rounded(F.array_max(F.transform(own, lambda x: F.abs(x))))
+        return let(F.slice("v", i * group + 1, group), lambda own: let(scale(own), lambda m: let(F.when(m == 0, 1.0).otherwise(m), lambda m: one(s, own, m))))
 
     return wide.select("tensor", "row", F.aggregate(starts, empty, step)["q"].alias("q"))
 

@@ -50,7 +50,7 @@ def digit_rows(wide: DataFrame, k: int) -> DataFrame:
 
     def of_group(i):
         g = F.slice("v", i * GROUP + 1, GROUP)
-        return F.element_at(F.transform(F.array(F.array_max(F.transform(g, lambda x: F.abs(x)))), lambda m: F.transform(g, lambda x: grid.digit(x, m, k))), 1)
+        return grid.let(F.array_max(F.transform(g, lambda x: F.abs(x))), lambda m: F.transform(g, lambda x: grid.digit(x, m, k)))
 
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("v") / GROUP).cast("int") - 1, F.lit(0)))
     return wide.select("tensor", "row", F.flatten(F.transform(starts, of_group)).alias("d"))
