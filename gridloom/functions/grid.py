@@ -123,3 +123,8 @@ def half_rounded(x: Column) -> Column:
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-30)))), F.lit(-14)) - 10)
     near = F.rint(size / step) * step
     return F.signum(x) * F.when(near > 65504.0, F.lit(float("inf"))).otherwise(near)
+
+
+def cell(x: Column, bounds: list[float]) -> Column:
+    """How many of the rising ``bounds`` lie below ``x``."""
+    return sum((F.when(x > b, 1).otherwise(0) for b in bounds), F.lit(0))

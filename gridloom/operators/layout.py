@@ -96,3 +96,10 @@ def pages(wide: DataFrame, rows_a_page: int) -> DataFrame:
 def selected(catalogue: DataFrame, name: str, exclude: str = "lm_head", least: int = 4096) -> DataFrame:
     """Rows of ``catalogue(rank, elements)`` that are matrices of ``least`` elements or more and aren't ``exclude``d by name."""
     return catalogue.where((F.col("rank") == 2) & ~F.contains(F.col(name), F.lit(exclude)) & (F.col("elements") >= least))
+
+
+def broken_offsets(blobs: DataFrame, file: str, order: str, declared: str, size: str, align: int = 32) -> DataFrame:
+    """Rows of ``blobs`` whose declared offset is not the aligned end of the blobs before it in its file, with ``expected``."""
+    padded = F.floor((F.col(size) + (align - 1)) / align) * align
+    before = F.sum(padded).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return blobs.withColumn("expected", F.coalesce(before, F.lit(0))).where(F.col(declared) != F.col("expected"))

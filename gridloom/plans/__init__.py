@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import agents, codec, corpus, evaluation, layers, prompts, quantization  # noqa: F401
+from gridloom.plans import agents, codec, corpus, evaluation, files, layers, prompts, quantization  # noqa: F401
 from gridloom.plans.registry import QUERIES, SQL
 
 

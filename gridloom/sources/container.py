@@ -1,4 +1,4 @@
-"""A container of coded tensors: header, directory, blobs. Read by directory; a filter on ``name`` prunes blobs."""
+"""A container of coded tensors: header, directory, blobs. Read by directory, or laid out as a table of blobs in which filters reach the scan."""
 
 from __future__ import annotations
 
@@ -71,33 +71,63 @@ def tensor(data: bytes, record: dict) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return digits, scales, np.frombuffer(data, "<u4", record["plen"] // 4, at) if record["plen"] else None
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, directory record) of every container under ``path``, by Spark's own file reader."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of containers, by Spark's own reader; for files of up to 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """(path, directory record) of ``files(path, content)``."""
+    ship(files.sparkSession)
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame([{"path": p, **r} for p, c in zip(f["path"], f["content"]) for r in directory(c)], columns=["path", *[c.split()[0] for c in SCHEMA.split(", ")]])
+            yield pd.DataFrame([{"path": p, **r} for p, c in zip(f["path"], f["content"]) for r in directory(bytes(c))], columns=["path", *[c.split()[0] for c in SCHEMA.split(", ")]])
 
-    return files.mapInPandas(run, f"path string, {SCHEMA}")
+    return files.select("path", "content").mapInPandas(run, f"path string, {SCHEMA}")
 
 
-def read_tensors(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """(path, name, k, digits, scales), decoding only the named tensors."""
-    ship(spark)
+def blobs(files: DataFrame) -> DataFrame:
+    """Directory records with each tensor's ``blob``, a row a tensor: a table to be written once as Parquet.
+
+    From there a filter on ``name`` and the choice of columns reach the scan, so one tensor is
+    read without the others; :func:`decoded` takes such rows.
+    """
+    ship(files.sparkSession)
 
     def run(frames):
         for f in frames:
-            out = []
             for p, c in zip(f["path"], f["content"]):
-                for r in directory(c):
-                    if names is None or r["name"] in names:
-                        d, s, _ = tensor(c, r)
-                        out.append((p, r["name"], r["k"], d.astype(np.int32), s))
-            yield pd.DataFrame(out, columns=["path", "name", "k", "digits", "scales"])
+                data = bytes(c)
+                for r in directory(data):  # one tensor at a time
+                    size = r["tbl"] + r["dig"] + r["sca"] + r["plen"]
+                    yield pd.DataFrame([{"path": p, **r, "blob": data[r["off"] : r["off"] + size]}])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, k int, digits array<int>, scales array<float>")
+    return files.select("path", "content").mapInPandas(run, f"path string, {SCHEMA}, blob binary")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """(path, name, k, digits, scales, perm) of rows of :func:`blobs`."""
+    ship(rows.sparkSession)
+    fields = ["path", "name", "shape", "k", "grp", "mode", "tbl", "dig", "sca", "plen", "blob"]
+
+    def run(frames):
+        for f in frames:
+            for r in f.to_dict("records"):
+                d, s, perm = tensor(bytes(r["blob"]), {**r, "off": 0})
+                yield pd.DataFrame({"path": [r["path"]], "name": [r["name"]], "k": [r["k"]], "digits": [d.astype(np.int32)], "scales": [s], "perm": [None if perm is None else perm.astype(np.int64)]})
+
+    return rows.select(*fields).mapInPandas(run, "path string, name string, k int, digits array<int>, scales array<float>, perm array<long>")
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    return directories(files_at(spark, path))
+
+
+def read_tensors(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(path, name, k, digits, scales, perm), decoding only the named tensors."""
+    rows = blobs(files_at(spark, path))
+    return decoded(rows if names is None else rows.where(F.col("name").isin(*names)))
 
 
 def summary(records: DataFrame) -> DataFrame:
