@@ -14,7 +14,8 @@ the text. Backslashes and line ends in roles are escaped as well.
 Defined cases: null role or text is empty; rows are ordered by turn, then role
 and text, null turns first; repeated rows are turns of their own; null conv_id
 is a conversation. An example is made and read one at a time, so memory holds
-one conversation's turns and one example, not their product.
+one conversation's turns and one example, not their product. A text of any length is
+formatted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

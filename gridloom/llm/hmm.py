@@ -19,7 +19,9 @@ the scaled forward recursion over each whole text, many texts abreast.
 
 Defined cases: null text is empty (its only token is the end); null doc_id is
 not held out; rows are kept apart by a row number, so repeats are scored each;
-nothing to learn from gives uniform classes and counts of 0.
+nothing to learn from gives uniform classes and counts of 0; of words with equal counts
+those with smaller hashes are classes of their own; a text of any length is scored
+whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

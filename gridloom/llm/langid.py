@@ -23,7 +23,9 @@ language has a posterior of ``least`` or more.
 Defined cases: null or letterless texts are rejected (their language is the best
 by the other evidence); null or unknown declarations, addresses and hosts are no
 evidence; with no declared language at all there is nothing to learn: language
-null, rejected; repeated rows are judged each on its own.
+null, rejected; repeated rows are judged each on its own; of equally likely languages
+the first by name is taken; a text of any length is read whole; an empty table gives
+no rows; columns beside the five that are named are ignored.
 """
 
 from __future__ import annotations

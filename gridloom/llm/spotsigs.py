@@ -14,7 +14,9 @@ under its rarest signatures (a prefix), and lengths are tested before sets.
 Defined cases: null text is empty; an empty text's fingerprint is '' and its
 likeness is 1 to another empty one and 0 to any other; a text without a word has
 its whole content as its one signature; a last document is followed by the
-first, a single one by itself; repeated doc_ids follow each other by text.
+first, a single one by itself; repeated doc_ids follow each other by text, null ones
+come first; a text of any length is taken whole; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
