@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.functions import numtheory, packing, rans
-from gridloom.operators import corpus, fits
+from gridloom.operators import cost, corpus, fits
 from gridloom.sources import container, files
 
 
@@ -129,6 +129,40 @@ def test_dumps(spark):
     assert corpus.parse_dumps(spark.createDataFrame([(long,)], "value string")).first().content == ("line of code\n" * 50_000)[:-1]
 
 
+def test_compensation_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    w = rng.standard_normal((12, 64))
+    rows = spark.createDataFrame([(0, i, [float(x) for x in r]) for i, r in enumerate(w)], "tensor int, row long, v array<double>").repartition(3)
+    h = fits.gram_matrix(rows)
+    assert np.allclose(h, 2 * w.T @ w / 12)
+    u = fits.damped_inverse(h)
+    assert np.allclose(u.T @ u, np.linalg.inv(h + 0.01 * np.mean(np.diag(h)) * np.eye(64)))
+    got = {r.row: r for r in fits.compensated(rows, h, 9).collect()}
+    for i, r in enumerate(w):
+        r, m = r.copy(), np.abs(r).max()
+        for j in range(64):
+            d = int(np.clip(np.rint((r[j] + m) / (2 * m / 8)), 0, 8))
+            assert got[i].d[j] == d
+            r[j + 1 :] -= (r[j] - (d * 2 * m / 8 - m)) / u[j, j] * u[j, j + 1 :]
+
+
+def test_allocation_is_greedy(spark):
+    sizes = {("a", 9): (10.0, 9.0), ("a", 15): (14.0, 4.0), ("a", 63): (30.0, 1.0), ("b", 9): (10.0, 8.0), ("b", 15): (13.0, 7.0), ("b", 63): (20.0, 0.5)}
+    rows = spark.createDataFrame([(t, k, *x) for (t, k), x in sizes.items()], "tensor string, k int, bytes double, err double")
+    for budget in (20.0, 24.0, 34.0, 50.0, 99.0):
+        got = cost.allocate(rows, budget, 9)
+        assert sum(sizes[t, k][0] for t, k in got.items()) <= budget
+        levels = {"a": 9, "b": 9}
+        while True:
+            spent = sum(sizes[t, k][0] for t, k in levels.items())
+            ups = [((sizes[t, levels[t]][1] - e) / (b - sizes[t, levels[t]][0]), t, k) for (t, k), (b, e) in sizes.items() if k > levels[t] and e < sizes[t, levels[t]][1] and spent + b - sizes[t, levels[t]][0] <= budget]
+            if not ups:
+                break
+            _, t, k = max(ups)
+            levels[t] = k
+        assert got == levels
+
+
 def test_feedback_carries_vectors(spark):
     rng = np.random.default_rng(3)
     w = rng.standard_normal((5, 256))
