@@ -235,16 +235,16 @@ def eights_blocks(spark, sf_dir):
     return made.select("tensor", "row", "bytes", "codes", r6(F.col("total"), "total"))
 
 
-@query("SELECT event_id, (event_id * 2654435761) % 65536 AS bits, CASE WHEN ((event_id * 2654435761) % 65536) // 128 % 256 BETWEEN 1 AND 254 THEN round(CASE WHEN (event_id * 2654435761) % 65536 >= 32768 THEN -1 ELSE 1 END * (1 + ((event_id * 2654435761) % 128) / 128.0::DOUBLE) * 1000, 3) END AS mantissa FROM events")
+@query("SELECT event_id, (event_id * 2654435761) % 65536 AS bits, CASE WHEN ((event_id * 2654435761) % 65536) // 128 % 256 BETWEEN 1 AND 254 THEN CASE WHEN (event_id * 2654435761) % 65536 >= 32768 THEN -1.0::DOUBLE ELSE 1.0 END * (128 + (event_id * 2654435761) % 128) END AS mantissa FROM events")
 def widened_floats(spark, sf_dir):
-    """16-bit brain floats widened to single precision; shown by sign and mantissa (times 1000)."""
+    """16-bit brain floats widened to single precision; shown by sign and mantissa in 128ths."""
     ship(spark)
 
     def run(frames):
         for f in frames:
             x = packing.widen_bf16(f["bits"].to_numpy()).astype(np.float64)
             fraction, _ = np.frexp(x)
-            yield pd.DataFrame({"event_id": f["event_id"], "bits": f["bits"], "mantissa": np.where(np.isfinite(x) & (np.abs(x) >= 2.0**-126), np.round(fraction * 2000, 3), np.nan)})
+            yield pd.DataFrame({"event_id": f["event_id"], "bits": f["bits"], "mantissa": np.where(np.isfinite(x) & (np.abs(x) >= 2.0**-126), fraction * 256, np.nan)})
 
     e = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 2654435761) % 65536).alias("bits"))
     return e.mapInPandas(run, "event_id long, bits long, mantissa double").withColumn("mantissa", F.nanvl("mantissa", F.lit(None).cast("double")))
