@@ -13,9 +13,10 @@ Counts are exact, over all training documents: words are hashed to 64 bits,
 counted by partition, and summed in a shuffle. The most frequent ``TABLE`` counts
 are broadcast (1 MB at most); the counts of all other words are joined to the
 documents' distinct words by a shuffle on the word. Baum-Welch runs over the
-class sequences of all training documents, in stretches of ``STRETCH`` tokens;
-each partition sums its expected counts and a shuffle adds them up. Scoring is
-the scaled forward recursion over each whole text, many texts abreast.
+whole class sequences of all training documents: long ones are cut into stretches
+of ``STRETCH`` tokens to be worked abreast, whose ends meet exactly (see
+:func:`_borders`); each partition sums its expected counts and a shuffle adds them
+up. Scoring is the scaled forward recursion over each whole text, many texts abreast.
 
 Defined cases: null text is empty (its only token is the end); null doc_id is
 not held out; rows are kept apart by a row number, so repeats are scored each;
@@ -134,30 +135,78 @@ def _start() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True)
 
 
-def _expect(model):
+def _borders(seqs, first, moves, by_class, stretch):
+    """Each stretch's state probabilities before its first token (``entry``; of the token before it, ``prior``) and the backward vector after its last.
+
+    A stretch is a linear map of state vectors. The maps of all stretches are made abreast,
+    then each sequence chains its own in order, all sequences abreast.
+    """
+    parts = [seq[k : k + stretch] for seq in seqs for k in range(0, len(seq), stretch)]
+    number = np.array([-(-len(seq) // stretch) for seq in seqs])
+    begin = np.concatenate(([0], np.cumsum(number)[:-1]))
+    states = len(first)
+    entry, prior, after = (np.ones((len(parts), states), np.float32) for _ in range(3))
+    entry[begin] = first
+    inner = np.flatnonzero(np.repeat(number, number) > 1)
+    if len(inner) == 0:
+        return parts, begin, entry, prior, after
+    order = inner[np.argsort([-len(parts[k]) for k in inner], kind="stable")]
+    lens = np.array([len(parts[k]) for k in order])
+    flat = np.concatenate([parts[k] for k in order])
+    base = np.concatenate(([0], np.cumsum(lens)[:-1]))
+    live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
+    seen, ahead = np.ascontiguousarray(by_class.T), np.ascontiguousarray(moves.T)
+    maps = np.eye(states, dtype=np.float32)[:, :, None] * seen[:, flat[base]]  # state before, state after, stretch
+    for s in range(1, int(lens[0])):
+        n = live[s]
+        step = np.matmul(ahead, maps[:, :, :n])
+        step *= seen[:, flat[base[:n] + s]]
+        if s % 2:
+            step /= step.sum((0, 1))
+        if n == maps.shape[2]:
+            maps = step
+        else:
+            maps[:, :, :n] = step
+    maps = np.moveaxis(maps, 2, 0)
+    place = np.empty(len(parts), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    for j in range(1, int(number.max())):
+        at = begin[number > j] + j
+        out = np.einsum("di,dij->dj", entry[at - 1], maps[place[at - 1]])
+        prior[at] = out / out.sum(1, keepdims=True)
+        entry[at] = prior[at] @ moves
+    for j in range(int(number.max()) - 1, 0, -1):
+        at = begin[number > j] + j
+        back = np.einsum("dij,dj->di", maps[place[at]], after[at]) @ moves.T
+        after[at - 1] = back / back.sum(1, keepdims=True)
+    return parts, begin, entry, prior, after
+
+
+def _expect(model, stretch: int = STRETCH, room: int = 300_000):
     """Expected counts of a partition: (i, x), first, moves and emissions laid end to end."""
 
     def run(batches):
         first, moves, emits = (m.astype(np.float32) for m in model.value)
         by_class = np.ascontiguousarray(emits.T)
-        sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))]
-        seen = False
+        states, classes = emits.shape
+        sums = [np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))]
 
-        def learn(stretches, starts):
-            order = sorted(range(len(stretches)), key=lambda k: -len(stretches[k]))
-            lens = np.array([len(stretches[k]) for k in order])
+        def count(parts, starts, entry, prior, after):
+            order = np.argsort([-len(p) for p in parts], kind="stable")
+            lens = np.array([len(parts[k]) for k in order])
+            starts, entry, prior, after = starts[order], entry[order], prior[order], after[order]
             d, t = len(order), int(lens[0])
             grid = np.zeros((t, d), dtype=np.int64)
             for j, k in enumerate(order):
-                grid[: lens[j], j] = stretches[k]
+                grid[: lens[j], j] = parts[k]
             live = np.searchsorted(-lens, -np.arange(1, t + 1), side="right")
-            alphas, scales = np.empty((t, d, STATES), np.float32), np.ones((t, d), np.float32)
+            alphas, scales = np.empty((t, d, states), np.float32), np.ones((t, d), np.float32)
             for s in range(t):
                 n = live[s]
-                a = (alphas[s - 1, :n] @ moves if s else np.broadcast_to(first, (n, STATES))) * by_class[grid[s, :n]]
+                a = (alphas[s - 1, :n] @ moves if s else entry) * by_class[grid[s, :n]]
                 scales[s, :n] = a.sum(1)
                 alphas[s, :n] = a / scales[s, :n, None]
-            beta = np.ones((d, STATES), np.float32)
+            beta = after / (alphas[lens - 1, np.arange(d)] * after).sum(1, keepdims=True)
             for s in range(t - 1, -1, -1):
                 n = live[s]
                 if s + 1 < t and live[s + 1]:
@@ -165,28 +214,36 @@ def _expect(model):
                     ahead = by_class[grid[s + 1, :m]] * beta[:m] / scales[s + 1, :m, None]
                     sums[1] += (alphas[s, :m].T @ ahead) * moves
                     beta[:m] = ahead @ moves.T
-                alphas[s, :n] *= beta[:n]
-            for j, k in enumerate(order):
-                if starts[k]:
-                    sums[0] += alphas[0, j]
+                if s:
+                    alphas[s, :n] *= beta[:n]
+            ahead = by_class[grid[0]] * beta / scales[0, :, None]
+            sums[1] += (prior[~starts].T @ ahead[~starts]) * moves
+            alphas[0] *= beta
+            sums[0] += alphas[0, starts].sum(0)
             real = np.arange(t)[:, None] < lens[None, :]
             at, gamma = grid[real], alphas[real]
-            for i in range(STATES):
-                sums[2][:, i] += np.bincount(at, weights=gamma[:, i], minlength=CLASSES)
-
-        held, starts, size = [], [], 0
+            for i in range(states):
+                sums[2][:, i] += np.bincount(at, weights=gamma[:, i], minlength=classes)
+
+        def learn(seqs):
+            parts, begin, entry, prior, after = _borders(seqs, first, moves, by_class, stretch)
+            starts = np.zeros(len(parts), dtype=bool)
+            starts[begin] = True
+            step = max(1, room // stretch)
+            for k in range(0, len(parts), step):
+                some = slice(k, k + step)
+                count(parts[some], starts[some], entry[some], prior[some], after[some])
+
+        held, size, seen = [], 0, False
         for batch in batches:
             for cell in batch.column(0):
-                seq = np.frombuffer(cell.as_py(), dtype="<u2")
-                for k in range(0, len(seq), STRETCH):
-                    held.append(seq[k : k + STRETCH])
-                    starts.append(k == 0)
-                    size += len(held[-1])
-                    if size >= 300_000:
-                        learn(held, starts)
-                        held, starts, size, seen = [], [], 0, True
+                held.append(np.frombuffer(cell.as_py(), dtype="<u2"))
+                size += len(held[-1])
+                if size >= room:
+                    learn(held)
+                    held, size, seen = [], 0, True
         if held:
-            learn(held, starts)
+            learn(held)
             seen = True
         if seen:
             flat = np.concatenate([s.reshape(-1) for s in sums])

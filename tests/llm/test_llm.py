@@ -445,8 +445,9 @@ def test_language_model_odd(spark, odd):
     assert all(r.score <= 0 for r in only)
 
 
-def test_expected_counts_are_sums_over_paths(spark):
-    """Baum-Welch's expected counts against a sum over all state paths of short sequences."""
+@pytest.mark.parametrize("stretch", [1, 3, hmm.STRETCH])
+def test_expected_counts_are_sums_over_paths(spark, stretch):
+    """Baum-Welch's expected counts against a sum over all state paths of short sequences, whole and in stretches."""
     first, moves, emits = hmm._start()
     seqs = [[3, 1, 3, 0], [2, 0], [1], [5, 5, 0]]
     want = [np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.CLASSES, hmm.STATES))]
@@ -467,7 +468,7 @@ def test_expected_counts_are_sums_over_paths(spark):
     sent = spark.sparkContext.broadcast((first, moves, emits))
     rows = spark.createDataFrame([(bytearray(np.array(s, "<u2").tobytes()),) for s in seqs], "seq binary").repartition(2)
     got = np.zeros(sum(w.size for w in want))
-    for r in rows.mapInArrow(hmm._expect(sent), "i long, x double").collect():
+    for r in rows.mapInArrow(hmm._expect(sent, stretch), "i long, x double").collect():
         got[r.i] += r.x
     assert np.allclose(got, np.concatenate([w.reshape(-1) for w in want]), atol=2e-5)
 
