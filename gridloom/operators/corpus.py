@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.grid import let
 from gridloom.functions.text import stripped
 
 # Licence names of which one must be part of a file's list.
@@ -21,15 +22,20 @@ def keep_first(rows: DataFrame, content: str, order: list[str]) -> DataFrame:
 
 
 def quality_filter(files: DataFrame) -> DataFrame:
-    """Size, licence and line statistics. Columns that are absent take defaults; nulls are refused."""
+    """Size, licence and line statistics. Columns that are absent take defaults; nulls are refused.
+
+    Plans work out an expression that stands twice before a filter's first condition, so the
+    statistics are behind a WHEN: they are met for texts of the right size only.
+    """
     have = files.columns
     get = lambda c: F.col(c) if c in have else F.lit(DEFAULTS[c])
-    rows = files.where(F.col("content").isNotNull() & F.col("size").between(300, 8000))
+    sized = F.col("content").isNotNull() & F.col("size").between(300, 8000)
+    rows = files.where(sized)
     if "licenses" in have:
         named = F.array_join("licenses", " ")
         rows = rows.where(F.exists(F.array(*[F.lit(x) for x in LICENSES]), lambda x: F.contains(named, x)))
-    bad = (get("avg_line_length") > 200) | (get("max_line_length") > 1000) | ~get("alphanum_fraction").between(0.25, 0.95)
-    return rows.where(F.coalesce(~bad, F.lit(False)))
+    bad = (get("avg_line_length") > 200) | (get("max_line_length") > 1000) | ~let(get("alphanum_fraction"), lambda x: x.between(0.25, 0.95))
+    return rows.where(F.when(sized, F.coalesce(~bad, F.lit(False))).otherwise(F.lit(False)))
 
 
 def fenced_blocks(lines: DataFrame, group: str, order: str, is_fence, line: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import grid
 from gridloom.functions import text as T
 from gridloom.operators import corpus, stats
 from gridloom.plans.registry import query, r6, table
@@ -46,10 +47,10 @@ _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM
 @query(f"WITH {_LINES} SELECT doc_id FROM s JOIN f USING (doc_id) WHERE size BETWEEN 300 AND 8000 AND NOT (a > 200 OR m > 1000 OR NOT x BETWEEN 0.25 AND 0.95)")
 def line_quality(spark, sf_dir):
     lens = F.transform(F.split("text", "\n", -1), lambda x: F.length(x))
+    avg = grid.let(lens, lambda n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(n))
     d = _docs(spark, sf_dir).select(
         "doc_id", F.col("text").alias("content"), F.octet_length("text").alias("size"), F.array_max(lens).alias("max_line_length"),
-        (F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lens)).alias("avg_line_length"),
-        (F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) / F.length("text")).alias("alphanum_fraction"),
+        avg.alias("avg_line_length"), (F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) / F.nullif(F.length("text"), F.lit(0))).alias("alphanum_fraction"),
     )
     return corpus.quality_filter(d).select("doc_id")
 
