@@ -29,7 +29,7 @@ def coded_rate(spark, sf_dir):
     back = codec.decode_lanes(lanes).select("tensor", "lane", F.explode("d").alias("s")).groupBy("tensor", "lane", "s").agg(F.count("*").alias("c"))
     both = back.join(lanes.select("tensor", "lane", "n", "freqs", "stream"), ["tensor", "lane"])
     bits = both.groupBy("tensor", "lane", "n", F.octet_length("stream").alias("size")).agg(F.sum(F.col("c") * (F.log2(F.lit(float(codec.TOTAL))) - F.log2(F.col("freqs")[F.col("s")].cast("double")))).alias("h"))
-    used = 8.0 * (F.col("size") + 4)
+    used = 8.0 * F.col("size")
     return bits.select("tensor", "lane", "n", ((used >= F.col("h")) & (used <= F.col("h") * 1.01 + 40)).alias("near"))
 
 
