@@ -147,7 +147,7 @@ def printed_models(spark, sf_dir):
 SELECT o_custkey AS file, o_orderkey AS name, (upto + 32)::BIGINT AS declared, upto::BIGINT AS expected FROM p WHERE o_orderkey % 13 = 0""")
 def offset_audit(spark, sf_dir):
     """Declared offsets that aren't the aligned end of what stands before; one in thirteen is made wrong."""
-    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("name"), F.expr("cast(round(o_totalprice / 100) as bigint)").alias("n"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("name"), F.rint(F.col("o_totalprice") / 100).cast("long").alias("n"))
     upto = F.coalesce(F.sum(F.floor((F.col("n") + 31) / 32) * 32).over(Window.partitionBy("file").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     declared = s.withColumn("declared", upto + F.when(F.col("name") % 13 == 0, 32).otherwise(0))
     return layout.broken_offsets(declared, "file", "name", "declared", "n").select("file", "name", "declared", "expected")

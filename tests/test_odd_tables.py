@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 
 from gridloom import plans
@@ -24,3 +26,17 @@ def test_line_quality_of_empty_texts(spark, tmp_path):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, want = _both(spark, tmp_path, "line_quality", documents=d)
     assert got == want and got
+
+
+def test_coded_rate_of_short_lanes(spark, tmp_path):
+    vectors = [(i, [math.sin(97.0 * i + j * j) for j in range(64)], int(i < 65)) for i in range(70)] + [(70, [0.5] * 64, 2)]
+    e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    got, want = _both(spark, tmp_path, "coded_rate", embeddings=e)
+    assert got == want and {r[2] for r in got} == {64, 320, 4096}
+
+
+def test_offset_audit_rounds_half_to_even(spark, tmp_path):
+    prices = [12850.0, 12950.0, 15950.0, 16050.0, 3250.0, 9650.0]
+    o = spark.createDataFrame([(13 * i, i % 2, p) for i, p in enumerate(prices + prices)], "o_orderkey long, o_custkey long, o_totalprice double")
+    got, want = _both(spark, tmp_path, "offset_audit", orders=o)
+    assert got == want and len(got) == 12
