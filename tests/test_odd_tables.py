@@ -40,3 +40,11 @@ def test_offset_audit_rounds_half_to_even(spark, tmp_path):
     o = spark.createDataFrame([(13 * i, i % 2, p) for i, p in enumerate(prices + prices)], "o_orderkey long, o_custkey long, o_totalprice double")
     got, want = _both(spark, tmp_path, "offset_audit", orders=o)
     assert got == want and len(got) == 12
+
+
+def test_read_path_where_the_last_bit_decides(spark, tmp_path):
+    """Rows whose largest output was half way between two steps in one engine and just beside it in the other."""
+    vectors = [(i, [math.sin(97.0 * i + j * j) for j in range(64)], i % 10) for i in (30727, 47702, 49456)]
+    e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    got, want = _both(spark, tmp_path, "read_path", embeddings=e)
+    assert got == want and len(got) == 192
