@@ -17,16 +17,23 @@ from gridloom.plans.registry import query, r6, table
 from gridloom.shipping import ship
 from gridloom.sources import container, files, work
 
+#: Bytes of text in a shard, about; shards are ranges of as many rows each.
+SHARD = 32 << 20
+
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
 def rows_in_order(spark, sf_dir):
-    """Documents in the order of their shards and rows; numbers by ranges of rows, so no task holds a shard."""
+    """Documents in the order of their shards and rows; numbers by ranges of rows, so no task holds a shard.
+
+    A shard is written by one task, so their number follows the texts' bytes.
+    """
     path = work.fresh(spark, "shards")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    d.repartitionByRange(max(3, -(-size // SHARD)), "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
     rows = files.in_order(files.parquet_columns(spark, path, ["doc_id", "not_there"])).withColumnRenamed("file", "tensor")
     numbered = layout.pages(rows, 1 << 40).withColumn("i", F.col("at"))
-    sizes = numbered.groupBy("tensor").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("tensor").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = rows.groupBy("tensor").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("tensor").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(sizes, "tensor").select("doc_id", (F.col("before") + F.col("i")).cast("long").alias("place"))
 
 

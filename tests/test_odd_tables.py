@@ -48,3 +48,17 @@ def test_read_path_where_the_last_bit_decides(spark, tmp_path):
     e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     got, want = _both(spark, tmp_path, "read_path", embeddings=e)
     assert got == want and len(got) == 192
+
+
+def test_rows_in_order_writes_shards_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridloom.plans.files.SHARD", 10_000, raising=False)
+    monkeypatch.setattr("gridloom.sources.work.fresh", lambda spark, name: f"{tmp_path}/out/{name}")
+    d = spark.createDataFrame([(7 * i % 1000, None if i % 50 == 3 else "x" * 100) for i in range(1000)], "doc_id long, text string")
+    got, want = _both(spark, tmp_path, "rows_in_order", documents=d)
+    assert got == want and len(got) == 1000
+    assert len(list((tmp_path / "out" / "shards").glob("part-*"))) == 10
+
+
+def test_rows_in_order_of_no_rows(spark, tmp_path):
+    got, want = _both(spark, tmp_path, "rows_in_order", documents=spark.createDataFrame([], "doc_id long, text string"))
+    assert got == want == []
